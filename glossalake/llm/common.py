@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,22 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(whole(text), F.lit(WORD)).cast("long")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package's modules to the Python workers through Spark's file server, once for each application."""
+    if _shipped.get("to") == spark.sparkContext.applicationId:
+        return
+    root = pathlib.Path(__file__).resolve().parent.parent
+    at = pathlib.Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(at))
+    _shipped["to"] = spark.sparkContext.applicationId
+
+
+_shipped: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
