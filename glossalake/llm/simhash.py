@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import materialise, pick, table
+from .common import materialise, pick, ship, table
 from .components import connected_components
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -55,28 +55,25 @@ def near_links(prints: DataFrame, hot: int = 512) -> DataFrame:
     part of the join's condition, so only links leave it. A variant that more than `hot` fingerprints share
     is dealt further by the other half's four bytes, of which one at least is equal: exact, and no bucket is capped.
     """
-    half, bit = F.explode(F.array(F.lit(0), F.lit(32))), F.explode(F.sequence(F.lit(0), F.lit(31)))
-    rows = prints.select("fp", half.alias("half")).select("fp", "half", bit.alias("bit"))
-    own = F.expr("shiftrightunsigned(fp, half) & 4294967295")
-    keyed = rows.select("fp", "half", "bit", (own.bitwiseAND(F.expr("~shiftleft(1L, bit)"))).alias("rest"))
-    tag = F.expr("(rest * 64 + bit) * 2 + half div 32")  # variant, wildcard and half in one long: 32 + 6 + 1 bits
-    keyed = keyed.select("fp", tag.alias("tag"), "bit", "half")
-    crowded = keyed.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select(F.col("tag").alias("t"))
-    marked = materialise(keyed.join(crowded, F.col("tag") == F.col("t"), "left").select("fp", "tag", "bit", "half", F.col("t").isNotNull().alias("hot")))
+    rows = prints.select("fp", F.explode(F.array(F.lit(0), F.lit(32))).alias("half")).select("fp", "half", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit"))
+    # Variant, wildcard and half in one long: 32 + 6 + 1 bits.
+    tag = F.expr("(((shiftrightunsigned(fp, half) & 4294967295) & ~shiftleft(1L, bit)) * 64 + bit) * 2 + half div 32")
+    keyed = rows.select("fp", tag.alias("tag"))
+    # Written, as its size then decides between broadcast and shuffle before the index moves.
+    crowded = materialise(keyed.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select(F.col("tag").alias("t")))
 
     def meet(side: DataFrame, keys: list[str]) -> DataFrame:
-        left, right = (side.select(*[F.col(c).alias(f"{p}_{c}") for c in dict.fromkeys(["fp", "bit", "half", *keys])]) for p in "ab")
-        on = F.lit(True)
+        left, right = (side.select(*[F.col(c).alias(f"{p}_{c}") for c in ["fp", *keys]]) for p in "ab")
+        on = F.col("a_fp") < F.col("b_fp")
         for k in keys:
             on &= F.col(f"a_{k}") == F.col(f"b_{k}")
-        xor = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
-        near = F.bit_count(xor) <= 3
-        in_half = F.expr("shiftrightunsigned(a_fp ^ b_fp, a_half) & 4294967295")
-        once = F.when(in_half == 0, F.col("a_bit") == 0).otherwise(in_half == F.expr("shiftleft(1L, a_bit)"))
-        return left.join(right, on & (F.col("a_fp") < F.col("b_fp")) & near & once).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
-
-    plain = meet(marked.filter("NOT hot"), ["tag"])
-    dealt = marked.filter("hot").withColumn("byte", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("value", F.expr("shiftrightunsigned(fp, 32 - half + byte * 8) & 255"))
+        near = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= 3
+        once = F.expr("CASE (shiftrightunsigned(a_fp ^ b_fp, CAST(a_tag % 2 * 32 AS INT)) & 4294967295) WHEN 0 THEN a_tag div 2 % 64 = 0 ELSE true END")
+        return left.join(right, on & near & once).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
+
+    plain = meet(keyed.join(crowded, F.col("tag") == F.col("t"), "left_anti"), ["tag"])
+    hot_rows = keyed.join(crowded, F.col("tag") == F.col("t"), "left_semi").withColumn("byte", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    dealt = hot_rows.withColumn("value", F.expr("shiftrightunsigned(fp, CAST(32 - tag % 2 * 32 + byte * 8 AS INT)) & 255"))
     return plain.union(meet(dealt, ["tag", "byte", "value"])).distinct()
 
 
@@ -88,6 +85,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     white space have fingerprint 0 and link like any other. Null ids are never the smallest; a component of null ids
     only has a null component. An empty table gives no rows. Other columns are not read.
     """
+    ship(docs.sparkSession)
     marked = materialise(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("k_text"), _fingerprints(F.col(text_col)).alias("fp")))
     nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     found = connected_components(near_links(nodes.select("fp")))
