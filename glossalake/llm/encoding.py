@@ -21,7 +21,7 @@ SPACE_MARK = "▁"
 #: Added to the score of the worst piece for each byte that stands for an unknown character.
 BYTE_PENALTY = 10.0
 #: Segmented stretches that a worker keeps; beyond, it starts anew. Bounds memory, changes no result.
-CACHE = 600_000
+CACHE = 1_000_000
 
 
 class Pieces:
@@ -37,6 +37,30 @@ class Pieces:
         self.cuts = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
         self.stretch = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+") if self.cuts else re.compile("(?s).+")
         self.known: dict[str, tuple[int, ...]] = {}
+        self.prefixes = {p[:i] for p in pieces for i in range(1, len(p) + 1)}
+
+    def segment(self, text: str) -> tuple[int, ...]:
+        """What viterbi() gives, for a short stretch: the window never fills, so nothing is committed before the end."""
+        get, prefixes, n = self.pieces.get, self.prefixes, len(text)
+        score: list[float | None] = [0.0] + [None] * n
+        back: list = [None] * (n + 1)
+        for start in range(n):
+            here = score[start]
+            for end in range(start + 1, n + 1):
+                part = text[start:end]
+                if part not in prefixes:
+                    break
+                found = get(part)
+                if found is not None:
+                    total = here + found[1]
+                    if score[end] is None or total > score[end]:
+                        score[end], back[end] = total, (start, found[0])
+            if text[start] not in self.pieces:
+                raw = text[start].encode("utf-8", "surrogatepass")
+                total = here + self.worst * len(raw)
+                if score[start + 1] is None or total > score[start + 1]:
+                    score[start + 1], back[start + 1] = total, (start, raw)
+        return tuple(self._path(back, 0, n))
 
     def viterbi(self, text: str, window: int | None = None) -> Iterator[int]:
         """Streams the ids of the best segmentation of `text`.
@@ -77,7 +101,7 @@ class Pieces:
         yield from self._path(back, done, n)
 
     @staticmethod
-    def _meet(back: dict, done: int, live: list[int]) -> int:
+    def _meet(back, done: int, live: list[int]) -> int:
         """The last boundary that the paths to all live places share."""
         heads = set(live)
         while len(heads) > 1:
@@ -88,7 +112,7 @@ class Pieces:
             heads.add(back[top][0])
         return min(heads)
 
-    def _path(self, back: dict, done: int, end: int) -> list[int]:
+    def _path(self, back, done: int, end: int) -> list[int]:
         out: list[int] = []
         while end > done:
             start, piece = back[end]
@@ -111,7 +135,7 @@ class Pieces:
                         continue
                     if len(known) >= CACHE:
                         known.clear()
-                    known[x] = ids = tuple(self.viterbi(x))
+                    known[x] = ids = self.segment(x)
                 out.extend(ids)
 
     def encode(self, text: str | None) -> list[int]:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import encoding, exact_dedup, graph_ann, mixing, quality, sharding, simhash, toxicity, urls
+from . import encoding, exact_dedup, graph_ann, lm, mixing, quality, sharding, simhash, toxicity, urls
 
 QUERIES = {
     "op1_importance_resampling": quality.op1_importance_resampling,
     "op2_shard_by_bytes": sharding.op2_shard_by_bytes,
+    "op3_attention": lm.op3_attention,
     "op4_content_sort": exact_dedup.op4_content_sort,
     "op5_redirect_equivalence": urls.op5_redirect_equivalence,
     "op6_pattern_grammar": toxicity.op6_pattern_grammar,
