@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 def _rows(df):
     df = df[sorted(df.columns)]
-    return sorted(repr([None if v is None or v != v else float(v) if isinstance(v, int | float) else v for v in r]) for r in df.astype(object).itertuples(index=False))
+    return sorted(repr([None if pd.api.types.is_scalar(v) and pd.isna(v) else float(v) if isinstance(v, int | float) else v for v in r]) for r in df.astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
