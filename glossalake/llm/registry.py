@@ -21,6 +21,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_content_sort": exact_dedup.OP4_SQL,
     "op5_redirect_equivalence": urls.OP5_SQL,
-    "op7_pruned_graph": graph_ann.op7_pruned_graph,
     "op8_fair_queue": mixing.OP8_SQL,
 }
