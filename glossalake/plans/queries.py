@@ -121,5 +121,5 @@ query("context_paragraphs", "segments")(D.context_paragraphs)
 query("auto_keywords", "segments")(lambda s: D.auto_keywords(s, ["the", "and", "that"]))
 query("snippet", "segments", sql=r"""SELECT id, CASE WHEN f > 1 THEN ' … ' ELSE '' END || list_aggregate(list_transform(w[f:f + 15], lambda x: CASE WHEN regexp_replace(lower(x), '[^\p{L}\p{N}]+', '', 'g') IN ('idiot', 'clown') THEN '[' || x || ']' ELSE x END), 'string_agg', ' ') || CASE WHEN f + 16 <= len(w) THEN ' … ' ELSE '' END AS snippet
 FROM (SELECT id, w, greatest(k - 8, 1) AS f FROM (SELECT id, w, list_position(list_transform(w, lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}]+', '', 'g') IN ('idiot', 'clown')), true) AS k FROM (SELECT id, list_filter(string_split_regex(content_text, '\s+'), lambda x: x <> '') AS w FROM segments)) WHERE k > 0)""")(lambda s: D.snippets(s, ["idiot", "clown"]))
-query("json_array_extract", "materials", sql="""SELECT id, '["' || id || '", "x"]' AS found FROM materials WHERE status = 'draft'""")(lambda m: m.select("id", D.json_array(F.when(F.col("status") == "draft", F.concat(F.lit('Take ["'), "id", F.lit('",\n"x"] or ["y"]'))).otherwise("Take [none")).alias("a")).filter("a IS NOT NULL").select("id", F.concat(F.lit('["'), F.array_join("a", '", "'), F.lit('"]')).alias("found")))
+query("json_array_extract", "materials", sql=r"""SELECT id, '["' || list_aggregate(json_extract_string(m, '$[*]'), 'string_agg', '", "') || '"]' AS found FROM (SELECT id, regexp_extract(CASE WHEN status = 'draft' THEN 'Take ["' || id || '",' || chr(10) || '"x"] or ["y"]' ELSE 'Take [none' END, '(?s)\[.*?\]') AS m FROM materials) WHERE m <> ''""")(lambda m: m.select("id", D.json_array(F.when(F.col("status") == "draft", F.concat(F.lit('Take ["'), "id", F.lit('",\n"x"] or ["y"]'))).otherwise("Take [none")).alias("a")).filter("a IS NOT NULL").select("id", F.concat(F.lit('["'), F.array_join("a", '", "'), F.lit('"]')).alias("found")))
 query("tile_counts", "languages", sql="SELECT CAST(floor((lo + 180) / 360 * 16) AS INT) AS x, CAST(floor((1 - ln(tan(radians(45 + la / 2))) / pi()) / 2 * 16) AS INT) AS y, count(*) AS n FROM (SELECT TRY_CAST(Latitude AS DOUBLE) AS la, TRY_CAST(Longitude AS DOUBLE) AS lo FROM languages) WHERE abs(la) < 85.0511 AND lo >= -180 AND lo < 180 GROUP BY 1, 2")(lambda l: D.tile_counts(l, 4))
