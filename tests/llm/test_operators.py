@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from glossalake.llm import encoding, exact_dedup, graph_ann, lm, mixing, quality, registry, sharding, simhash, toxicity, urls
@@ -225,6 +226,26 @@ def test_attention_gradients():
         assert (up - down) / 2e-4 == pytest.approx(g[k][at], rel=2e-2, abs=1e-5)
 
 
+def test_attention_scores():
+    rng = np.random.default_rng(1)
+    n, s = 5, lm.STRIDE
+    for size in (0.3, 8.0):  # the larger weights need rows shifted by their maximum
+        model = lm.Attention()
+        model.w = {k: (rng.standard_normal(a.shape) * size).astype(np.float32) for k, a in model.w.items()}
+        live = np.ones((n, 2 * s), bool)
+        live[0, :s] = False
+        direct = np.log(rng.dirichlet(np.ones(lm.CLASSES), (n, s))).astype(np.float32)
+        args = (rng.integers(0, lm.CLASSES, (n, 2 * s)), live, direct, rng.integers(0, lm.CLASSES, (n, s)))
+        z, _ = model.forward(*args[:3])
+        assert np.allclose(np.exp(z).sum(-1), 1, atol=1e-4)
+        assert np.allclose(model.log_probs(*args), np.take_along_axis(z, args[3][..., None], -1)[..., 0], atol=1e-3)
+
+
+def test_lm_knows_context(spark):
+    got = lm.op3_attention(spark, "/root/testdata/sf0.01").filter("not held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert got.s > got.b
+
+
 def test_empty_tables(odd, labels):
     none, no_labels = odd.limit(0), labels.limit(0)
     for df in (sharding.shard_by_bytes(none), exact_dedup.content_sort(none), mixing.fair_queue(none), simhash.near_groups(none), toxicity.toxicity(none, no_labels), encoding.encode_documents(none), quality.importance(none, no_labels), lm.score_documents(none)):
