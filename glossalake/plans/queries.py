@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import documents as D
 from ..operators import lexical as X
 from ..operators import repository as R
+from ..operators import web as W
 from ..sources.fixtures import oracle, views
 
 GLOSSES = ["PROMO", "SMALL"]
@@ -123,3 +124,17 @@ query("snippet", "segments", sql=r"""SELECT id, CASE WHEN f > 1 THEN ' … ' ELS
 FROM (SELECT id, w, greatest(k - 8, 1) AS f FROM (SELECT id, w, list_position(list_transform(w, lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}]+', '', 'g') IN ('idiot', 'clown')), true) AS k FROM (SELECT id, list_filter(string_split_regex(content_text, '\s+'), lambda x: x <> '') AS w FROM segments)) WHERE k > 0)""")(lambda s: D.snippets(s, ["idiot", "clown"]))
 query("json_array_extract", "materials", sql=r"""SELECT id, '["' || list_aggregate(json_extract_string(m, '$[*]'), 'string_agg', '", "') || '"]' AS found FROM (SELECT id, regexp_extract(CASE WHEN status = 'draft' THEN 'Take ["' || id || '",' || chr(10) || '"x"] or ["y"]' ELSE 'Take [none' END, '(?s)\[.*?\]') AS m FROM materials) WHERE m <> ''""")(lambda m: m.select("id", D.json_array(F.when(F.col("status") == "draft", F.concat(F.lit('Take ["'), "id", F.lit('",\n"x"] or ["y"]'))).otherwise("Take [none")).alias("a")).filter("a IS NOT NULL").select("id", F.concat(F.lit('["'), F.array_join("a", '", "'), F.lit('"]')).alias("found")))
 query("tile_counts", "languages", sql="SELECT CAST(floor((lo + 180) / 360 * 16) AS INT) AS x, CAST(floor((1 - ln(tan(radians(45 + la / 2))) / pi()) / 2 * 16) AS INT) AS y, count(*) AS n FROM (SELECT TRY_CAST(Latitude AS DOUBLE) AS la, TRY_CAST(Longitude AS DOUBLE) AS lo FROM languages) WHERE abs(la) < 85.0511 AND lo >= -180 AND lo < 180 GROUP BY 1, 2")(lambda l: D.tile_counts(l, 4))
+QUERIES["html_extract"] = lambda spark, sf_dir: W.html_extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+query("extracted_clean", "segments")(lambda s: s.select("id", W.clean_extracted(F.col("content_text")).alias("content_text")))
+
+
+def _crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of a page: those to three others by number, as the hrefs in the tables lead to no stored page."""
+    urls = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("url"))
+    n = urls.agg(F.count("*").alias("n"))
+    edges = urls.join(F.broadcast(n)).select(F.col("url").alias("src"), "n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("pos")).select("src", "pos", F.expr("(src * 7 + pos) % n").alias("dst"))
+    return W.crawl(edges, urls, 0, 3, 200).select("url", "depth", "status")
+
+
+QUERIES["crawl_bfs"] = _crawl
+ORACLE_SQL["crawl_bfs"] = "WITH RECURSIVE c AS (SELECT count(*) AS n FROM pages), e AS (SELECT page_id AS src, (page_id * 7 + k) % n AS dst FROM pages, c, (VALUES (1), (2), (3)) v(k)), r(url, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 3) SELECT url, min(depth) AS depth, CASE WHEN url IN (SELECT page_id FROM pages) THEN 'ok' ELSE 'fetch_error' END AS status FROM r GROUP BY url"
