@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_report_text
 
-#: Elements whose text isn't shown.
+#: Elements whose text isn't shown (fixed values).
 HIDDEN = frozenset(("noscript", "script", "style"))
 
 
@@ -96,7 +96,7 @@ def unnumbered(text: Column) -> Column:
     """Takes out the line numbers of a manuscript, if lines have them densely, and joins its lines to paragraphs.
 
     Dense: 6 or more lines that aren't blank, of which 5 or more and a quarter or more begin (or end) with a number of
-    1 to 4 digits. Other texts stay as they are; null stays null.
+    1 to 4 digits. Other texts stay as they are; null stays null. These limits are fixed values.
     """
     lines = F.split(text, "\n", -1)
     full = F.filter(lines, lambda x: x.rlike(r"(?U)\S"))
