@@ -246,6 +246,24 @@ def test_lm_knows_context(spark):
     assert got.s > got.b
 
 
+def test_lm_learns_from_all_training_texts(spark, monkeypatch):
+    rows = [(i, f"one two {'three ' * (i or 1)}unlikelyword{i}") for i in [*range(1, 40), None, None]]
+    near, weights = [], []
+    classify, load = lm.Tables.classify, lm.Attention.load
+    monkeypatch.setattr(lm.Tables, "classify", lambda self, n: (near.append(n.copy()), classify(self, n))[1])
+    monkeypatch.setattr(lm.Attention, "load", lambda self, w: (weights.append(w), load(self, w))[1])
+    for some in (rows, rows[-2:]):
+        near.clear(), weights.clear()
+        assert lm.score_documents(spark.createDataFrame(some, "doc_id long, text string")).count() == len(some)
+        want = 0
+        for i, text in some:
+            if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2:
+                n = sum(len(lm.subwords(w)) for w in lm.tokens(text))
+                want += sum(max(0, n - d) for d in range(1, lm.NEAR + 1))
+        assert near[0].sum() == want
+        assert len(weights) == lm.ROUNDS and np.abs(weights[-1][-lm.WIDTH * lm.CLASSES :]).max() > 0
+
+
 def test_empty_tables(odd, labels):
     none, no_labels = odd.limit(0), labels.limit(0)
     for df in (sharding.shard_by_bytes(none), exact_dedup.content_sort(none), mixing.fair_queue(none), simhash.near_groups(none), toxicity.toxicity(none, no_labels), encoding.encode_documents(none), quality.importance(none, no_labels), lm.score_documents(none)):
