@@ -85,23 +85,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     white space have fingerprint 0 and link like any other. Null ids are never the smallest; a component of null ids
     only has a null component. An empty table gives no rows. Other columns are not read.
     """
+    return _labelled(docs, id_col, text_col).drop("component")
+
+
+def _labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """near_groups() with the component's smallest fingerprint, which names it whatever the ids."""
     ship(docs.sparkSession)
     marked = materialise(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("k_text"), _fingerprints(F.col(text_col)).alias("fp")))
     nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     found = connected_components(near_links(nodes.select("fp")))
     of = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     least = of.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    labelled = of.join(least, "component").select(F.col("fp").alias("n_fp"), "component_id")
-    return marked.join(labelled, F.col("fp") == F.col("n_fp")).select("doc_id", "k_text", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labelled = of.join(least, "component").select(F.col("fp").alias("n_fp"), "component_id", "component")
+    return marked.join(labelled, F.col("fp") == F.col("n_fp")).select("doc_id", "k_text", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id. Rows without an id can't name their component and stay."""
-    marks = near_groups(docs)
-    first = marks.filter("doc_id = component_id OR doc_id IS NULL")
-    once = first.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("k_text").alias("k_text"))
-    kept = once.union(first.filter("doc_id IS NULL").select("doc_id", "k_text"))
-    return pick(docs, kept.select(F.col("doc_id").alias("k_id"), "k_text"))
+    """docs with one row of each component: that of the smallest doc_id, then text digest; a null id comes last."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k_text")).alias("first")
+    kept = _labelled(docs).groupBy("component").agg(first)
+    return pick(docs, kept.select(F.col("first.doc_id").alias("k_id"), F.col("first.k_text").alias("k_text")))
 
 
 def op9_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,13 @@ def test_simhash_components(spark, odd):
     assert simhash.drop_near_copies(odd).columns == odd.columns
 
 
+def test_near_copies_keep_one_row_of_each_component(spark):
+    a, b, c, d = "red green blue", "one two three", "tall oak tree", "cold grey sea"
+    rows = [(7, a), (7, b), (7, c), (8, a), (None, a), (None, d), (None, d.upper()), (9, None), (10, "")]
+    got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, (r.text or "").lower()) for r in got) == Counter([(7, a), (7, b), (7, c), (None, d), (9, "")])
+
+
 def test_toxicity(spark, odd, labels):
     sf = "/root/testdata/sf0.01"
     got = toxicity.op6_pattern_grammar(spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
