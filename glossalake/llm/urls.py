@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import html
+import re
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import ascii_lower, materialise, table
+from .common import ascii_lower, materialise, ship, table
 from .components import connected_components
 
 Rule = tuple[str, str, str]
@@ -21,9 +27,35 @@ RULES: tuple[Rule, ...] = (
 MAX_RULES = 10_000
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
-_CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_CANONICAL_2 = r"""(?is)<link\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)["']?[^>]*\brel\s*=\s*["']?canonical\b"""
-_REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
+_TAG = r"""(?is)<(?:link|meta)\b(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+"""
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|["']?([^\s"'>]+))""")
+_REFRESH = re.compile(r"""\burl\s*=\s*["']?\s*([^"'\s>]+)""", re.IGNORECASE)
+_ABSOLUTE = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*://")
+
+
+def target_of(url: str, tag: str) -> str | None:
+    """The full url that a link or meta tag of the page at `url` names as canonical or redirects to, or None."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(tag):
+        found.setdefault(name.lower(), html.unescape("".join(values)).strip())
+    to = None
+    if tag[1:5].lower() == "link":
+        if "canonical" in found.get("rel", "").lower().split():
+            to = found.get("href")
+    elif found.get("http-equiv", "").lower() == "refresh":
+        named = _REFRESH.search(found.get("content", ""))
+        to = named[1] if named else found.get("url")  # an unquoted content ends at its space
+    if not to or _ABSOLUTE.match(to):
+        return to or None
+    try:
+        return urljoin(url, to)
+    except ValueError:
+        return None
+
+
+@F.pandas_udf(StringType())
+def _targets(urls: pd.Series, tags: pd.Series) -> pd.Series:
+    return pd.Series([target_of(u, t) for u, t in zip(urls, tags, strict=True)], dtype=object)
 
 
 def _part(url: Column, i: int) -> Column:
@@ -59,11 +91,16 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Colu
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): nodes of a page and of the canonical link or redirect that its html names."""
-    to = F.array(*[F.regexp_extract(F.coalesce("html", F.lit("")), p, 1) for p in (_CANONICAL, _CANONICAL_2, _REFRESH)])
-    named = pages.select("url", F.explode(F.array_distinct(to)).alias("to")).filter("to <> ''")
-    full = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to")).when(F.col("to").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("url")), "to"))
-    return named.select(node_of(F.col("url")).alias("a"), node_of(full).alias("b")).filter("a <> '' AND b <> ''")
+    """(a, b): nodes of a page and of each canonical link and meta refresh that its html names, in either order of attributes.
+
+    Entities in a target are decoded, and relative targets are resolved against the page's url. OP5_SQL knows less: one
+    target of each kind, absolute or from the root.
+    """
+    ship(pages.sparkSession)
+    tags = F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_TAG), F.lit(0)))
+    named = pages.filter("url IS NOT NULL").select("url", F.explode(tags).alias("tag")).filter(F.col("tag").rlike("(?i)canonical|refresh"))
+    full = named.select("url", _targets("url", "tag").alias("to"))
+    return full.select(node_of(F.col("url")).alias("a"), node_of(F.col("to")).alias("b")).filter("a <> '' AND b <> ''")
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, edges: DataFrame | None = None) -> DataFrame:

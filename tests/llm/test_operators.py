@@ -196,6 +196,20 @@ def test_urls(spark):
     assert got[2].host == "a.org" and got[5].host == got[5].path == "" and got[3].rule == "www.example.com/en/"
 
 
+def test_all_alias_links(spark):
+    bad = "http://n.net/es/d/"
+    rows = [
+        (1, "http://n.net/es/d/i", '<link rel=canonical href=x.html><link href="../y" rel="canonical">'), (2, "http://q.org/1", f'<meta content="0; URL={bad}i" http-equiv=Refresh>'),
+        (3, "http://q.org/2?a=1&b=2", ""), (4, "http://n.net/fr/p", "<link rel=canonical href='http://q.org/2?a=1&amp;b=2'>"), (5, "http://q.org/3", "<meta http-equiv=refresh content='5; url=?p=2'>"), (6, "http://q.org/3?p=2", f"<link rel=canonical href='{bad}i'>"),
+        (7, "http://q.org/4", f"<link rel=canonical href=/z><link rel=canonical href={bad}i>"), (8, "http://q.org/5", f"<link rel=next href={bad}i><link rel=canonical href=/5>"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges = {(r.a, r.b) for r in urls.alias_edges(pages).collect()}
+    assert {("n.net/es/d/i", "n.net/es/d/x.html"), ("n.net/es/d/i", "n.net/es/y"), ("q.org/3", "q.org/3?p=2"), ("n.net/fr/p", "q.org/2?a=1&b=2")} <= edges
+    got = {r.page_id: r.verdict for r in urls.judge(pages).collect()}
+    assert [got[i] for i in range(1, 9)] == ["block"] * 7 + ["allow"]
+
+
 def test_quality(spark, odd, labels):
     got = quality.op1_importance_resampling(spark, "/root/testdata/sf0.01").toPandas().merge(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas(), on="doc_id")
     rates = got.groupby("quality")["kept"].mean()
