@@ -172,21 +172,54 @@ def test_viterbi_against_all_segmentations():
         assert sum(score[i] for i in pieces.segment(x)) == pytest.approx(best(x)[0])
 
 
-def test_vectors_against_brute_force(spark):
+def _true_links(rows: list[tuple]) -> tuple[dict, dict]:
+    """n_links and component_id of rows (vec_id, vector, label), by all cosines."""
+    good = [(i, np.array(x, float), k) for i, x, k in rows if k is not None and x and all(v is not None and math.isfinite(v) for v in x) and any(x)]
+    links = {i: [j for j, y, m in good if j != i and m == k and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98] for i, x, k in good}
+    part = {i: i for i, _, _ in rows}
+    while any(part[j] < part[i] for i in links for j in links[i]):
+        part |= {i: min(part[j] for j in [i, *links[i]]) for i in links}
+    return {i: len(links.get(i, ())) for i in part}, part
+
+
+@pytest.mark.parametrize("cell", [40, 60, 2048])
+def test_vectors_against_brute_force(spark, cell):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((40, 8))
     v = np.concatenate([base + rng.standard_normal(base.shape) * 0.08 for _ in range(6)])
-    rows = [(i, [float(x) for x in r], i % 2) for i, r in enumerate(v)] + [(900, None, 0), (901, [0.0] * 8, 0), (902, [float("nan")] * 8, 1), (903, [float(x) for x in v[0]], 0), (904, [1.0, None], 1), (905, [float(x) for x in v[0]], None)]
+    blob = rng.standard_normal(8) + rng.standard_normal((130, 8)) * 0.002  # all alike: no splitting makes it smaller
+    rows = [(i, [float(x) for x in r], i % 2) for i, r in enumerate(v)] + [(400 + i, [float(x) for x in r], 1) for i, r in enumerate(blob)]
+    rows += [(900, None, 0), (901, [0.0] * 8, 0), (902, [float("nan")] * 8, 1), (903, [float(x) for x in v[0]], 0), (904, [1.0, None], 1), (905, [float(x) for x in v[0]], None), (906, [float("inf")] * 8, 1), (907, [], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    out, audit = graph_ann.near_vectors(df, cell=60)
+    out, audit = graph_ann.near_vectors(df, cell=cell)
     got = out.toPandas().set_index("vec_id")
-    good = {i: (np.array(x), l) for i, x, l in rows if i < 900 or i == 903}
-    links = {i: {j for j, (y, k) in good.items() if j != i and k == l and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98} for i, (x, l) in good.items()}
-    assert sum(got.loc[i, "n_links"] for i in good) >= 0.9 * sum(map(len, links.values()))
-    assert all(got.loc[i, "n_links"] <= len(links[i]) for i in good)
-    assert all(got.loc[i, "n_links"] == 0 and got.loc[i, "component_id"] == i for i in (900, 901, 902, 904, 905))
-    hits = audit.first()
-    assert hits["hits"] >= 0.9 * hits["true"]
+    links, parts = _true_links(rows)
+    assert got["n_links"].to_dict() == links and got["component_id"].to_dict() == parts
+    assert all(r.kept == (i == parts[i]) for i, r in got.iterrows())
+    hits, true = audit.first()
+    assert hits == true == sum(n for i, n in links.items() if i % graph_ann.AUDIT == 0) - 1  # vector 903, equal to 0, is of its node
+
+
+def test_vectors_on_the_tables(spark):
+    rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    got = graph_ann.op7_pruned_graph(spark, "/root/testdata/sf0.01").toPandas().set_index("vec_id")
+    links, parts = _true_links(rows)
+    assert got["n_links"].to_dict() == links and got["component_id"].to_dict() == parts
+
+
+def test_odd_vectors(spark):
+    kind = "vec_id long, embedding array<double>, label int, cell string, rid long, n int, vec int"
+    rows = [(None, [1.0, 0.0], 0, "c", 1, 1, 1), (5, [1.0, 0.0], 0, "c", 1, 1, 1), (5, [1.0, 0.0], 0, "c", 1, 1, 1), (5, [0.0, 1.0], 0, "c", 1, 1, 1), (None, [0.0, 0.0], 0, "c", 1, 1, 1), (7, [1.0, 0.0], 1, "c", 1, 1, 1)]
+    df = spark.createDataFrame(rows, kind)
+    got = graph_ann.audited(df).collect()
+    assert Counter(tuple(r) for r in got) == Counter([(None, 2, 5, False), (5, 2, 5, True), (5, 2, 5, True), (5, 0, 5, True), (None, 0, None, True), (7, 0, 7, True)])
+    assert graph_ann.audited(df.limit(0)).count() == 0 and graph_ann.audited(df.filter("label > 5")).count() == 0
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(graph_ann, "LEAST_RECALL", 1.1)
+    with pytest.raises(RuntimeError, match="recall"):
+        graph_ann.audited(spark.createDataFrame([(i, [1.0, i * 1e-3], 0) for i in range(40)], "vec_id long, embedding array<double>, label int"))
 
 
 def test_urls(spark):
