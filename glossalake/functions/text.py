@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lexicon import STEMS
+
 
 def valid_coordinates(lat: Column, lon: Column) -> Column:
     """Both parse as numbers and neither is 0; null and text are not valid."""
@@ -19,20 +22,58 @@ def like_any_case(col: Column, term: str) -> Column:
 
 
 def term_pattern(term: str) -> str:
-    """A regular expression for a term: its words with any white space between, at word boundaries, in any case."""
-    return r"(?iu)\b" + r"\s+".join(re.escape(w) for w in term.split()) + r"\b"
+    """A regular expression for a term: its words with any white space between, at word boundaries, in any case; some terms stand for a verb's forms."""
+    low = " ".join(term.lower().split())
+    words = STEMS.get(low)
+    return r"(?iU)\b" + (f"(?:{words})" if words else r"\s+".join(map(re.escape, low.split()))) + r"\b"
+
+
+# The patterns that cleaning replaces, in the order that each function gives them.
+LINE_END, BLANKS, MANY_LINE_ENDS, PADDED_LINE_END, ENDS = r"\r\n?", r"[ \t]+", r"\n{3,}", r" *\n *", r"(?U)^\s+|\s+$"
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+NUMBER_ONLY, NUMBER_FIRST, NUMBER_LAST = r"(?U)^\s*\d{1,4}\s*\z", r"(?U)^\s*\d{1,4}\s+(?=\S)", r"(?U)(?<=\S)\s+\d{1,4}\s*\z"
+HYPHENATED, WRAPPED = r"([A-Za-z])-\n([A-Za-z])", r"(?<!\n)\n(?!\n)"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(text, ENDS, "")
 
 
 def clean_report_text(text: Column) -> Column:
     """Line ends unified, runs of blanks squeezed, more than two line ends cut to two, ends trimmed."""
-    out = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[ \t]+", " ")
-    out = F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r" *\n *", "\n")
-    return F.regexp_replace(out, r"^\s+|\s+$", "")
+    out = F.regexp_replace(F.regexp_replace(text, LINE_END, "\n"), BLANKS, " ")
+    return stripped(F.regexp_replace(out, MANY_LINE_ENDS, "\n\n"))
+
+
+def unnumbered(text: Column) -> Column:
+    """Takes out the line numbers of a manuscript, if lines have them densely, and joins its lines to paragraphs.
+
+    Dense: 6 or more lines that aren't blank, of which 5 or more and a quarter or more begin (or end) with a number of
+    1 to 4 digits. Other texts stay as they are; null stays null. These limits are fixed values.
+    """
+    lines = F.split(text, "\n", -1)
+    full = F.filter(lines, lambda x: x.rlike(r"(?U)\S"))
+    dense = lambda pattern: (F.size(F.filter(full, lambda x: x.rlike(pattern))) >= F.greatest(F.lit(5), F.ceil(F.size(full) / 4))) & (F.size(full) >= 6)
+    before, after = dense(r"(?U)^\s*\d{1,4}(\s+\S|\s*\z)"), dense(r"(?U)\S\s+\d{1,4}\s*\z")
+    kept = F.when(before, F.transform(F.filter(lines, lambda x: ~x.rlike(NUMBER_ONLY)), lambda x: F.regexp_replace(x, NUMBER_FIRST, ""))).otherwise(lines)
+    kept = F.when(after, F.transform(kept, lambda x: F.regexp_replace(x, NUMBER_LAST, ""))).otherwise(kept)
+    joined = F.regexp_replace(F.array_join(kept, "\n"), HYPHENATED, "$1$2")
+    joined = F.regexp_replace(F.regexp_replace(joined, WRAPPED, " "), BLANKS, " ")
+    return F.when(before | after, joined).otherwise(text)
+
+
+def clean_extracted(text: Column) -> Column:
+    """What extraction keeps of a text: no control characters, no manuscript line numbers, white space squeezed. Null gives the empty text."""
+    ends = F.regexp_replace(F.coalesce(text, F.lit("")), LINE_END, "\n")
+    out = F.regexp_replace(unnumbered(F.regexp_replace(ends, CONTROL, " ")), BLANKS, " ")
+    return stripped(F.regexp_replace(F.regexp_replace(out, MANY_LINE_ENDS, "\n\n"), PADDED_LINE_END, "\n"))
 
 
 def trim_context(text: Column, n: int) -> Column:
-    """At most n characters, without a word cut in two."""
-    return F.when(F.length(text) <= n, text).otherwise(F.regexp_replace(F.substring(text, 1, n), r" [^ ]*$", ""))
+    """The cleaned text; if longer than n characters, so many of it, without a word cut in two."""
+    clean = clean_extracted(text)
+    return F.when(F.length(clean) <= n, clean).otherwise(stripped(F.regexp_replace(F.substring(clean, 1, n), r" [^ ]*$", "")))
 
 
 def slug(name: Column) -> Column:
@@ -64,6 +105,42 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(a) == F.size(b)), dot(a, b)).otherwise(0.0)
 
 
-def search_tokens(text: Column) -> Column:
-    """Lower-case letter and digit runs."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+def _marks() -> tuple[str, str]:
+    """Lower-case Latin, Greek and Cyrillic letters with marks, and the letters without them."""
+    marked = [c for i in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)) if (c := chr(i)) == c.lower() and len(d := unicodedata.normalize("NFD", c)) > 1 and all(unicodedata.combining(m) for m in d[1:])]
+    return "".join(marked), "".join(unicodedata.normalize("NFD", c)[0] for c in marked)
+
+
+_MARKED, _BARE = _marks()
+#: Letters and digits, as full-text search takes words; fixed value.
+TOKEN_GAP = r"[^\p{L}\p{N}]+"
+#: Words that keywords are made of; fixed value.
+KEYWORD = r"[a-z][a-z0-9\-']{2,}"
+
+
+def folded(text: Column) -> Column:
+    """Lower case, without marks on letters."""
+    return F.translate(F.regexp_replace(F.lower(text), r"\p{M}+", ""), _MARKED, _BARE)
+
+
+def search_words(text: Column) -> Column:
+    """Letter and digit runs, in lower case and without marks, a blank before and after each."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(folded(text), TOKEN_GAP, " ")), F.lit(" "))
+
+
+def hamming_hex(a: Column, b: Column, lanes: int = 4) -> Column:
+    """Differing bits of two hexadecimal strings of 16 digits a lane; 999 for null and for anything else."""
+    fits = lambda x: F.coalesce(x.rlike(f"^[0-9a-fA-F]{{{16 * lanes}}}$"), F.lit(False))
+    lane = lambda x, i: F.conv(F.substring(x, 16 * i + 1, 16), 16, -10).cast("long")
+    return F.when(fits(a) & fits(b), sum((F.bit_count(lane(a, i).bitwiseXOR(lane(b, i))) for i in range(lanes)), F.lit(0))).otherwise(999)
+
+
+def normal_url(url: Column) -> Column:
+    """The url without white space around it, if its scheme is http or https, in lower case; else null."""
+    u = stripped(url)
+    return F.when(u.rlike("(?i)^https?:"), F.concat(F.lower(F.regexp_extract(u, "^[A-Za-z]+:", 0)), F.regexp_replace(u, "^[A-Za-z]+:", "")))
+
+
+def json_vector(text: Column) -> Column:
+    """The numbers of a JSON list; null where it isn't one."""
+    return F.from_json(text, "array<double>")

@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_report_text
+from ..functions.text import clean_extracted, unnumbered
+
+__all__ = ["HIDDEN", "clean_extracted", "crawl", "html_extract", "unnumbered"]
 
 #: Elements whose text isn't shown (fixed values).
 HIDDEN = frozenset(("noscript", "script", "style"))
@@ -90,26 +92,3 @@ def crawl(edges: DataFrame, pages: DataFrame, root, max_depth: int = 1, max_page
         level = visit(new.orderBy("place").limit(max_pages)).select(*columns)
         visited = visited.union(level)
     return visited.orderBy("depth", "place").limit(max_pages).select("url", "source_url", "depth", "status")
-
-
-def unnumbered(text: Column) -> Column:
-    """Takes out the line numbers of a manuscript, if lines have them densely, and joins its lines to paragraphs.
-
-    Dense: 6 or more lines that aren't blank, of which 5 or more and a quarter or more begin (or end) with a number of
-    1 to 4 digits. Other texts stay as they are; null stays null. These limits are fixed values.
-    """
-    lines = F.split(text, "\n", -1)
-    full = F.filter(lines, lambda x: x.rlike(r"(?U)\S"))
-    dense = lambda pattern: (F.size(F.filter(full, lambda x: x.rlike(pattern))) >= F.greatest(F.lit(5), F.ceil(F.size(full) / 4))) & (F.size(full) >= 6)
-    before, after = dense(r"(?U)^\s*\d{1,4}(\s+\S|\s*\z)"), dense(r"(?U)\S\s+\d{1,4}\s*\z")
-    kept = F.when(before, F.transform(F.filter(lines, lambda x: ~x.rlike(r"(?U)^\s*\d{1,4}\s*\z")), lambda x: F.regexp_replace(x, r"(?U)^\s*\d{1,4}\s+(?=\S)", ""))).otherwise(lines)
-    kept = F.when(after, F.transform(kept, lambda x: F.regexp_replace(x, r"(?U)(?<=\S)\s+\d{1,4}\s*\z", ""))).otherwise(kept)
-    joined = F.regexp_replace(F.array_join(kept, "\n"), r"([A-Za-z])-\n([A-Za-z])", "$1$2")
-    joined = F.regexp_replace(F.regexp_replace(joined, r"(?<!\n)\n(?!\n)", " "), r"[ \t]+", " ")
-    return F.when(before | after, joined).otherwise(text)
-
-
-def clean_extracted(text: Column) -> Column:
-    """What extraction keeps of a text: no control characters, no manuscript line numbers, white space squeezed. Null gives the empty text."""
-    ends = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
-    return clean_report_text(unnumbered(F.regexp_replace(ends, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")))
