@@ -132,20 +132,60 @@ def test_near_copies_keep_one_row_of_each_component(spark):
 
 
 def test_toxicity(spark, odd, labels):
-    sf = "/root/testdata/sf0.01"
-    got = toxicity.op6_pattern_grammar(spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
-    clean, toxic = got[got["toxic"] == 0], got[got["toxic"] == 1]
-    assert clean["predicted"].mean() < 0.02 and toxic["predicted"].mean() > 0.6
+    for sf, least in (("sf0.01", 0.6), ("sf0.1", 0.9)):
+        sf = f"/root/testdata/{sf}"
+        got = toxicity.op6_pattern_grammar(spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
+        out = got[got["held_out"]]
+        assert out.loc[out["toxic"] == 0, "predicted"].mean() < 0.01 and out.loc[out["toxic"] == 1, "predicted"].mean() > least
+    langs = got.merge(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").toPandas(), on="doc_id")
+    assert langs[(langs["toxic"] == 1) & langs["held_out"]].groupby("lang")["predicted"].mean().min() > 0.85
     assert toxicity.toxicity(odd, labels).count() == 9
     assert toxicity.drop_toxic(odd, labels).columns == odd.columns
 
 
 def test_grammar():
-    model = toxicity.Model({"idiot": 4.0}, {"scumm": 4.0}, -5.0, -2.0)
-    plain, negated, reported, aimed = (model.score(t) for t in ("an idiot", "not an idiot", "they said an idiot", "you idiot"))
+    model = toxicity.Model({"idiot": 4.0}, {"scumm": 4.0}, -5.0)
+    plain, negated, reported, aimed = (model.score(t) for t in ("an idiot so here", "not an idiot here", "wrote an idiot here", "you an idiot here"))
     assert negated < plain and reported < plain < aimed
-    assert model.score("I kill time") == model.score("") == model.score(None) < 0.3 < model.score("I kill you")
-    assert model.score("a SCUMMERY thing") > 0.3
+    assert model.score("a SCUMMERY thing") > 0.3 > model.score("") == model.score(None) == model.score("they had no time to kill")
+
+
+def test_threats_need_a_target_and_heed_negation_and_report():
+    score = toxicity.Model({}, {}, -5.0).score
+    plain = score("I will kill you")
+    assert plain > 0.8 and score("ich werde dich umbringen") == score("te voy a matar") == score("I will kill them") == plain
+    assert score("he said I will not kill you") < score("I will not kill you") < score("he said I will kill you") < plain
+    assert max(map(score, ("we beat them in the final", "I kill time", "you will kill time", "kill. you", "kill it with some of your", "they will not beat anyone"))) < 0.3
+
+
+def test_composition_against_one_machine():
+    """The chain of transducers gives what a single machine over tuples of states gives, and what a plain reading of threats gives."""
+    rng, g = random.Random(2), toxicity.grammar()
+    symbols = ["insult", "threat", "you", "object", "them", "modal", "negation", "report", "other"]
+    product: dict[tuple, tuple] = {}
+
+    def step(states, symbol):
+        if (states, symbol) not in product:
+            new, out, factor = [], symbol, 1.0
+            for s, part in zip(states, g.parts, strict=True):
+                s, out, f = part.step(s, out)
+                new.append(s)
+                factor *= f
+            product[states, symbol] = (tuple(new), out, factor)
+        return product[states, symbol]
+
+    for _ in range(3000):
+        text = [rng.choice(symbols) for _ in range(rng.randint(0, 9))]
+        states, want = (0, 0, 0, 0), {"insult!": 0.0, "threat!": 0.0}
+        for x in text:
+            states, out, factor = step(states, x)
+            if out in want:
+                want[out] += 3.0 * factor
+        got = g.run([(x, 3.0) for x in text])
+        assert got == pytest.approx(want)
+        assert (got["insult!"] > 0) == ("insult" in text)
+        if not {"threat"} & set(text) or not {"you", "object", "them"} & set(text):
+            assert got["threat!"] == 0
 
 
 def test_encoding(odd):
