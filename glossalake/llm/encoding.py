@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
@@ -20,8 +21,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
 #: Added to the score of the worst piece for each byte that stands for an unknown character.
 BYTE_PENALTY = 10.0
-#: Segmented stretches that a worker keeps; beyond, it starts anew. Bounds memory, changes no result.
-CACHE = 1_000_000
+#: Segmented stretches that a worker keeps, and the longest of them; beyond, it starts anew. Bounds memory, changes no result.
+CACHE, SHORT = 1_000_000, 64
+#: A piece's probability falls with its rank r among the vocabulary's stored scores as 1 / (r + SHIFT): Zipf's law with Mandelbrot's shift.
+SHIFT = 2.7
 
 
 class Pieces:
@@ -39,13 +42,20 @@ class Pieces:
         self.known: dict[str, tuple[int, ...]] = {}
         self.prefixes = {p[:i] for p in pieces for i in range(1, len(p) + 1)}
 
-    def segment(self, text: str) -> tuple[int, ...]:
-        """What viterbi() gives, for a short stretch: the window never fills, so nothing is committed before the end."""
-        get, prefixes, n = self.pieces.get, self.prefixes, len(text)
-        score: list[float | None] = [0.0] + [None] * n
-        back: list = [None] * (n + 1)
+    def viterbi(self, text: str, window: int | None = None) -> Iterator[int]:
+        """Streams the ids of the best segmentation of `text`.
+
+        Keeps the scores and back pointers of the places that a piece has reached so far, at most `longest` ahead, and what
+        lies between them and the last committed boundary. Whenever the paths to all these places run through
+        one boundary, the ids up to it are final and leave the window. Looked for every `window` characters.
+        """
+        get, prefixes, longest, n = self.pieces.get, self.prefixes, self.longest, len(text)
+        window = window or 4 * longest
+        score: dict[int, float] = {0: 0.0}
+        back: dict[int, tuple] = {}
+        done, check = 0, window
         for start in range(n):
-            here = score[start]
+            here = score.pop(start)
             for end in range(start + 1, n + 1):
                 part = text[start:end]
                 if part not in prefixes:
@@ -53,51 +63,21 @@ class Pieces:
                 found = get(part)
                 if found is not None:
                     total = here + found[1]
-                    if score[end] is None or total > score[end]:
+                    if end not in score or total > score[end]:
                         score[end], back[end] = total, (start, found[0])
             if text[start] not in self.pieces:
+                # An unknown character is spelt in bytes; it competes with pieces that contain it.
                 raw = text[start].encode("utf-8", "surrogatepass")
                 total = here + self.worst * len(raw)
-                if score[start + 1] is None or total > score[start + 1]:
+                if start + 1 not in score or total > score[start + 1]:
                     score[start + 1], back[start + 1] = total, (start, raw)
-        return tuple(self._path(back, 0, n))
-
-    def viterbi(self, text: str, window: int | None = None) -> Iterator[int]:
-        """Streams the ids of the best segmentation of `text`.
-
-        Keeps the scores and back pointers of the places that a piece may still start from, `longest` of them, and what
-        lies between them and the last committed boundary. Whenever the paths to all these places run through
-        one boundary, the ids up to it are final and leave the window. Looked for every `window` characters.
-        """
-        get, longest, n = self.pieces.get, self.longest, len(text)
-        window = window or 8 * longest
-        score, back = {0: 0.0}, {}
-        done, check = 0, window
-        for end in range(1, n + 1):
-            best, via = None, None
-            for start in range(max(done, end - longest), end):
-                found = get(text[start:end])
-                if found is not None:
-                    total = score[start] + found[1]
-                    if best is None or total > best:
-                        best, via = total, (start, found[0])
-            if best is None or end - via[0] > 1 and get(text[end - 1 : end]) is None:
-                # An unknown character is spelt in bytes; it competes with pieces that contain it.
-                raw = text[end - 1].encode("utf-8", "surrogatepass")
-                total = score[end - 1] + self.worst * len(raw)
-                if best is None or total > best:
-                    best, via = total, (end - 1, raw)
-            score[end], back[end] = best, via
-            if end >= check and end < n:
-                live = range(max(done, end - longest + 1), end + 1)
-                meet = self._meet(back, done, list(live))
+            if start + 1 >= check and start + 1 < n:
+                meet = self._meet(back, done, list(score))
                 if meet > done:
                     yield from self._path(back, done, meet)
-                    for place in range(done, meet):
-                        score.pop(place, None)
-                        back.pop(place + 1, None)
+                    back = {end: via for end, via in back.items() if end > meet}
                     done = meet
-                check = end + window
+                check = start + 1 + window
         yield from self._path(back, done, n)
 
     @staticmethod
@@ -121,7 +101,11 @@ class Pieces:
         return out[::-1]
 
     def encode_into(self, text: str, out: array) -> None:
-        """Appends the ids of a text. A space goes before it, spaces become marks, marks in the text itself are spelt in bytes."""
+        """Appends the ids of a text. A space goes before it, spaces become marks, marks in the text itself are spelt in bytes.
+
+        No piece crosses the beginning of a run of marks, so all paths meet there: what lies between two such places is a stretch of its own, and the
+        ids of a short one are kept for when it comes again.
+        """
         known, stretch = self.known, self.stretch
         mark = [self.byte_ids[b] for b in SPACE_MARK.encode()]
         for i, part in enumerate(text.split(SPACE_MARK)):
@@ -130,12 +114,11 @@ class Pieces:
             for x in stretch.findall(("" if i else SPACE_MARK) + part.replace(" ", SPACE_MARK)) if part or not i else ():
                 ids = known.get(x)
                 if ids is None:
-                    if len(x) > 64:
-                        out.extend(self.viterbi(x))
-                        continue
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[x] = ids = self.segment(x)
+                    ids = self.viterbi(x)
+                    if len(x) <= SHORT:
+                        if len(known) >= CACHE:
+                            known.clear()
+                        known[x] = ids = tuple(ids)
                 out.extend(ids)
 
     def encode(self, text: str | None) -> list[int]:
@@ -154,17 +137,22 @@ class Pieces:
 
 @lru_cache(maxsize=2)
 def load(path: str = MODEL) -> Pieces:
-    """Reads the normal pieces, their stored scores and the byte pieces of a SentencePiece model."""
+    """Reads the normal pieces and the byte pieces of a SentencePiece model, with log probabilities by the rank of the stored scores.
+
+    The scores that a merge vocabulary stores are ranks, not log probabilities, and can't be summed along a path.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    normal, byte_ids = {}, [0] * 256
+    stored, byte_ids = [], [0] * 256
     for i in range(sp.get_piece_size()):
         if sp.is_byte(i):
             byte_ids[int(sp.id_to_piece(i)[3:5], 16)] = i
         elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-            normal[sp.id_to_piece(i)] = (i, max(sp.get_score(i), -1e6))
-    return Pieces(normal, byte_ids)
+            stored.append((-sp.get_score(i), i))
+    stored.sort()
+    total = math.log(sum(1 / (r + SHIFT) for r in range(len(stored))))
+    return Pieces({sp.id_to_piece(i): (i, -math.log(r + SHIFT) - total) for r, (_, i) in enumerate(stored)}, byte_ids)
 
 
 def encode_documents(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -194,7 +194,8 @@ def test_encoding(odd):
         x = "".join(rng.choice("▁abctheéß日 ,\n") for _ in range(rng.randint(0, 40)))
         assert pieces.decode(pieces.encode(x)) == x
         if x:
-            assert pieces.segment(x) == tuple(pieces.viterbi(x, window=rng.choice([1, 3, 500])))
+            best = list(pieces.viterbi(x, window=10**6))
+            assert all(list(pieces.viterbi(x, window=w)) == best for w in (1, 2, 7))
     for r in encoding.encode_documents(odd).collect():
         assert r.n_pieces == len(r.ids)
     got = Counter(r.decoded_crc32 for r in encoding.encode_documents(odd).collect())
@@ -209,7 +210,38 @@ def test_viterbi_against_all_segmentations():
 
     for x in ("abab", "bababa", "aabbaab"):
         score = {i: s for i, s in pieces.pieces.values()}
-        assert sum(score[i] for i in pieces.segment(x)) == pytest.approx(best(x)[0])
+        assert all(sum(score[i] for i in pieces.viterbi(x, w)) == pytest.approx(best(x)[0]) for w in (1, 3, 50))
+
+
+def test_encoding_against_another_decoder(spark):
+    """Whole real texts, over the whole vocabulary, against the unigram decoder of the tokenizers library; as many pieces as the merges give, or fewer."""
+    import sentencepiece
+    from tokenizers import Tokenizer, models
+
+    pieces, merges = encoding.load(), sentencepiece.SentencePieceProcessor(model_file=encoding.MODEL)
+    names = [f"<{i}>" for i in range(merges.get_piece_size())]
+    scores = [-1e9] * len(names)
+    for p, (i, s) in pieces.pieces.items():
+        names[i], scores[i] = p, s
+    other = Tokenizer(models.Unigram(list(zip(names, scores, strict=True)), unk_id=0, byte_fallback=False))
+    by_id = {i: s for i, s in pieces.pieces.values()}
+    own, theirs, compared = 0, 0, 0
+    for r in spark.read.parquet(f"{SF}/documents.parquet").filter("text IS NOT NULL AND text <> ''").collect():
+        ids = pieces.encode(r.text)
+        own, theirs = own + len(ids), theirs + len(merges.encode(r.text))
+        if set(ids) <= set(by_id):  # nothing spelt in bytes
+            want = [i for x in pieces.stretch.findall(encoding.SPACE_MARK + r.text.replace(" ", encoding.SPACE_MARK)) for i in other.encode(x).ids]
+            assert sum(by_id[i] for i in ids) == pytest.approx(sum(by_id[i] for i in want))
+            compared += 1
+    assert compared > 20 and own < 1.02 * theirs
+
+
+def test_streaming_commits_long_before_the_end():
+    pieces = encoding.load()
+    text = "abcdefgh" * 3000
+    stream = pieces.viterbi(text, window=64)
+    assert [next(stream) for _ in range(5)] == list(pieces.viterbi(text, window=10**6))[:5]
+    assert len(stream.gi_frame.f_locals["back"]) < 200 and stream.gi_frame.f_locals["start"] < 200
 
 
 def _true_links(rows: list[tuple]) -> tuple[dict, dict]:
@@ -332,7 +364,9 @@ def test_attention_scores():
         args = (rng.integers(0, lm.CLASSES, (n, 2 * s)), live, direct, rng.integers(0, lm.CLASSES, (n, s)))
         z, _ = model.forward(*args[:3])
         assert np.allclose(np.exp(z).sum(-1), 1, atol=1e-4)
-        assert np.allclose(model.log_probs(*args), np.take_along_axis(z, args[3][..., None], -1)[..., 0], atol=1e-3)
+        own, begin = model.log_probs(*args)
+        assert np.allclose(own, np.take_along_axis(z, args[3][..., None], -1)[..., 0], atol=1e-3)
+        assert np.allclose(np.exp(begin), np.exp(z)[..., : lm.FIRST + 1].sum(-1), atol=1e-3)
 
 
 def test_lm_knows_context(spark):
