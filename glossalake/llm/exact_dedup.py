@@ -43,17 +43,20 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    norm = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("k_text"), normalised(F.col(text_col)).alias("norm"))
-    keyed = norm.withColumn("sha", F.sha2(F.encode("norm", "UTF-8"), 256))
+
+    def keyed(some: DataFrame) -> DataFrame:
+        norm = some.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("k_text"), normalised(F.col(text_col)).alias("norm"))
+        return norm.withColumn("sha", F.sha2(F.encode("norm", "UTF-8"), 256))
+
     place = F.concat_ws("\x00", F.substring("norm", 1, PREFIX), "sha", F.hex(F.xxhash64("doc_id")))
     rows = docs.count()
     if rows and n > 1:
-        some = keyed.sample(min(1.0, SAMPLES_A_RANGE * n / rows), seed=7).select(place.alias("key"))
+        some = keyed(docs.sample(min(1.0, SAMPLES_A_RANGE * n / rows), seed=7)).select(place.alias("key"))
         tiles = some.withColumn("tile", F.ntile(n).over(Window.orderBy("key")))  # a bounded sample, about 40 keys a range
         splitters = [x["key"] for x in tiles.groupBy("tile").agg(F.min("key").alias("key")).filter("tile > 1").orderBy("key").collect()]
     else:
         splitters = []
-    dealt = keyed.withColumn("part", _range_of(place, splitters)).repartitionById(n, F.col("part"))
+    dealt = keyed(docs).withColumn("part", _range_of(place, splitters)).repartitionById(n, F.col("part"))
     last = F.col("doc_id").asc_nulls_last()
     order = Window.partitionBy("part").orderBy(F.substring("norm", 1, PREFIX), "sha", last)
     head = dealt.withColumn("head", ~F.col("norm").eqNullSafe(F.lag("norm").over(order)))
