@@ -77,7 +77,8 @@ def importance(docs: DataFrame, labels: DataFrame, keep: float | None = None, ma
     text. The raw model counts all documents, the target model labelled ones of quality 1; both are smoothed by one count
     a bucket. Gumbel noise drawn from a hash of id and seed is added, and the k largest keys are kept: a sample without
     replacement by importance. k is `keep` times the rows, rounded; without it, the share of quality 1 among labels.
-    Null and empty texts have ratio 0. Null ids draw alike and ties go by id. Without labels both models are flat
+    Null and empty texts have ratio 0; very long ones are counted and scored whole. Rows of one id draw the same noise, so rows repeated in full
+    tie, and ties go by id, then number of n-grams. Without labels both models are flat
     and all rows are kept. An empty table gives no rows. Other columns are not read.
     """
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
