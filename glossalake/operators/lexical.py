@@ -19,6 +19,21 @@ def star(languages: DataFrame, forms: DataFrame, parameters: DataFrame, glosses:
     return languages.join(f, languages["ID"] == f["Language_ID"]).join(p, F.col("Parameter_ID") == F.col("p_id")).drop("Language_ID", "Parameter_ID", "p_id")
 
 
+def tile_rows(languages: DataFrame, forms: DataFrame, parameters: DataFrame, form: str | None = None, parameter: str | None = None, name: str | None = None) -> DataFrame:
+    """A tile's points: languages, joined with forms and concepts (by their names) only if one of these is asked for."""
+    rows = languages
+    if form or parameter:
+        p = parameters.select(F.col("ID").alias("p_id"), F.col("Name").alias("parameter_name"))
+        f = forms.select("Language_ID", "Parameter_ID", F.col("Value").alias("form_value"))
+        rows = languages.join(f, languages["ID"] == f["Language_ID"]).join(p, F.col("Parameter_ID") == F.col("p_id")).drop("Language_ID", "Parameter_ID", "p_id")
+    return search(rows, name, form or None, parameter or None)
+
+
+def datasets_with(index: DataFrame, glosses: list[str]) -> DataFrame:
+    """(dataset_name): datasets that the gloss index has one of the glosses for; a broadcast of these prunes a partitioned scan."""
+    return index.filter(F.col("Concepticon_Gloss").isin(glosses)).select("dataset_name").distinct()
+
+
 def located(df: DataFrame) -> DataFrame:
     """Rows with valid coordinates, which become doubles."""
     ok = df.filter(valid_coordinates(F.col("Latitude"), F.col("Longitude")))
@@ -31,6 +46,12 @@ def full_data(languages: DataFrame, forms: DataFrame, parameters: DataFrame, glo
     return rows.select("ID", "Glottocode", "Latitude", "Longitude", "form_value", "parameter_name", "dataset_name")
 
 
+def export(languages: DataFrame, forms: DataFrame, parameters: DataFrame, glosses: list[str]) -> DataFrame:
+    """full_data() with the languages' names."""
+    rows = located(star(languages, forms, parameters, glosses))
+    return rows.select("ID", "Name", "Glottocode", "Latitude", "Longitude", "form_value", "parameter_name", "dataset_name")
+
+
 def gloss_index(languages: DataFrame, forms: DataFrame, parameters: DataFrame) -> DataFrame:
     """Distinct (dataset_name, Concepticon_Gloss)."""
     return star(languages, forms, parameters).filter("parameter_name IS NOT NULL").select("dataset_name", F.col("parameter_name").alias("Concepticon_Gloss")).distinct()

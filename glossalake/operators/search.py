@@ -31,7 +31,7 @@ class Phrase:
 
 
 Node = Phrase | tuple
-_LEXEME = re.compile(r'\s*(?:"((?:[^"]|"")*)"|([()])|([{][^}]*[}]|[^\W_]\w*)\s*:|([^\s"()*:]+)|([*+]))')
+_LEXEME = re.compile(r'\s*(?:"((?:[^"]|"")*)"|([()])|([{][^}]*[}]|[^\W_]\w*)\s*:|([^\s"()*:+]+)|([*+]))')
 
 
 def parse_query(query: str, columns: Sequence[str] = INDEXED) -> Node:

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, NumericType, StringType, StructField, StructType
 
 from ..functions.text import safe_filename
 from .repository import OBSERVATION_TYPES, SOURCE_TYPES, STATUSES, checked, delete_cascade, set_null
@@ -21,11 +21,10 @@ def insert(table: DataFrame, rows: list[Mapping], defaults: Mapping | None = Non
     for r in rows:
         if extra := set(r) - set(schema.names):
             raise ValueError(f"unknown columns: {', '.join(sorted(extra))}")
-    full = [tuple({**(defaults or {}), **r}.get(c) for c in schema.names) for r in rows]
-    nullable = StructType([f for f in schema.fields])
-    for f in nullable.fields:
-        f.nullable = True
-    return table.unionByName(table.sparkSession.createDataFrame(full, nullable))
+    full = [{**(defaults or {}), **r} for r in rows]
+    plain = StructType([StructField(f.name, f.dataType if isinstance(f.dataType, (NumericType, ArrayType, BooleanType)) else StringType()) for f in schema.fields])
+    new = table.sparkSession.createDataFrame([tuple(r.get(c) for c in schema.names) for r in full], plain)
+    return table.unionByName(new.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]))
 
 
 def update(table: DataFrame, key: str, value, changes: Mapping, now: str | None = None) -> DataFrame:

@@ -5,14 +5,16 @@ from __future__ import annotations
 import html
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_extracted, unnumbered
+from ..functions.text import clean_extracted, normal_url, unnumbered
 
-__all__ = ["HIDDEN", "clean_extracted", "crawl", "html_extract", "unnumbered"]
+__all__ = ["HIDDEN", "clean_extracted", "crawl", "html_extract", "page_links", "unnumbered"]
 
 #: Elements whose text isn't shown (fixed values).
 HIDDEN = frozenset(("noscript", "script", "style"))
@@ -67,6 +69,24 @@ def html_extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     return rows.mapInArrow(run, f"{id_col} {kind}, text string, links array<string>, title string")
 
 
+def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(src, pos, dst): the links of each page, in their order, as full urls of http or https; others are left out. This is what crawl() reads."""
+    read = _reader()
+
+    @F.pandas_udf("array<string>")
+    def targets(urls: pd.Series, pages: pd.Series) -> pd.Series:
+        return pd.Series([[_joined(u, x) for x in read(p or "")[1]] for u, p in zip(urls, pages, strict=True)], dtype=object)
+
+    def _joined(url: str, target: str) -> str | None:
+        try:
+            return urljoin(url, target)
+        except ValueError:
+            return None
+
+    some = pages.filter(F.col(url_col).isNotNull()).select(F.col(url_col).alias("src"), F.posexplode(targets(url_col, html_col)).alias("pos", "to"))
+    return some.select("src", "pos", normal_url(F.col("to")).alias("dst")).filter("dst IS NOT NULL")
+
+
 def crawl(edges: DataFrame, pages: DataFrame, root, max_depth: int = 1, max_pages: int = 20) -> DataFrame:
     """Breadth-first visits from `root`: url, source_url, depth, status ('ok', or 'fetch_error' for urls that `pages` lacks).
 
@@ -89,6 +109,6 @@ def crawl(edges: DataFrame, pages: DataFrame, root, max_depth: int = 1, max_page
         first = named.groupBy("dst").agg(F.min_by(F.struct("src", "pos", "place"), F.struct("place", "pos")).alias("m"))
         new = first.join(visited.select(F.col("url").alias("seen")), F.col("dst") == F.col("seen"), "left_anti")
         new = new.select(F.col("dst").alias("url"), F.col("m.src").alias("source_url"), F.lit(depth).alias("depth"), F.concat("m.place", F.array(F.col("m.pos").cast("long"))).alias("place"))
-        level = visit(new.orderBy("place").limit(max_pages)).select(*columns)
+        level = visit(new.orderBy("place").limit(max_pages)).select(*columns).cache()  # max_pages rows at most; the next level doesn't find them again
         visited = visited.union(level)
     return visited.orderBy("depth", "place").limit(max_pages).select("url", "source_url", "depth", "status")

@@ -9,13 +9,20 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import Lexicon
+from ..operators import clustering as G
 from ..operators import documents as D
 from ..operators import evidence as E
+from ..operators import images as P
+from ..operators import indexing as I
 from ..operators import lexical as X
 from ..operators import repository as R
 from ..operators import search as S
+from ..operators import store as K
+from ..operators import tiles as V
 from ..operators import web as W
+from ..sources import text_tables as C
 from ..sources.fixtures import oracle, views
+from ..streaming import maintenance as M
 
 GLOSSES = ["PROMO", "SMALL"]
 STAR = "SELECT l.*, f.Value AS form_value, p.Concepticon_Gloss AS parameter_name FROM languages l JOIN forms f ON l.ID = f.Language_ID JOIN parameters p ON f.Parameter_ID = p.ID"
@@ -247,3 +254,67 @@ def _crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["crawl_bfs"] = _crawl
 ORACLE_SQL["crawl_bfs"] = "WITH RECURSIVE c AS (SELECT count(*) AS n FROM pages), e AS (SELECT page_id AS src, (page_id * 7 + k) % n AS dst FROM pages, c, (VALUES (1), (2), (3)) v(k)), r(url, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 3) SELECT url, min(depth) AS depth, CASE WHEN url IN (SELECT page_id FROM pages) THEN 'ok' ELSE 'fetch_error' END AS status FROM r GROUP BY url"
+
+query("export_with_names", *LEXICAL, sql=f"SELECT ID, Name, Glottocode, CAST(Latitude AS DOUBLE) AS Latitude, CAST(Longitude AS DOUBLE) AS Longitude, form_value, parameter_name, dataset_name FROM ({STAR}) s WHERE parameter_name IN {IN} AND {OK}")(lambda l, f, p: X.export(l, f, p, GLOSSES))
+query("tile_join", *LEXICAL, sql="SELECT l.*, f.Value AS form_value, p.Name AS parameter_name FROM languages l JOIN forms f ON l.ID = f.Language_ID JOIN parameters p ON f.Parameter_ID = p.ID WHERE lower(f.Value) LIKE '%no-1%' AND lower(p.Name) LIKE '%a%'")(lambda l, f, p: X.tile_rows(l, f, p, "NO-1", "A"))
+query("tile_projection", "languages", sql="SELECT * EXCLUDE (Latitude, Longitude), 'Combined' AS dataset FROM languages WHERE TRY_CAST(Latitude AS DOUBLE) BETWEEN -60 AND 60 AND TRY_CAST(Longitude AS DOUBLE) BETWEEN -90 AND 90")(lambda l: X.in_tile(l, -90.0, -60.0, 90.0, 60.0).drop("Latitude", "Longitude", "gx", "gy").withColumn("dataset", F.lit("Combined")))
+query("mvt_tiles", "languages")(lambda l: V.tiles(l, 3, "languages").select("z", "x", "y", F.length("tile").alias("bytes")))
+query("datasets_with_gloss", *LEXICAL, sql=f"SELECT DISTINCT dataset_name FROM ({STAR}) s WHERE parameter_name IN {IN}")(lambda l, f, p: X.datasets_with(X.gloss_index(l, f, p), GLOSSES))
+query("cluster_languages", *LEXICAL)(lambda l, f, p: G.cluster(X.binary_matrix(X.star(l, f, p), ["ID"], "parameter_name", "form_value", CONCEPTS), order=("ID",)).select("ID", "cluster_id"))
+query("cluster_summary", *LEXICAL)(lambda l, f, p: G.summary(G.cluster(X.binary_matrix(X.star(l, f, p), ["ID"], "parameter_name", "form_value", CONCEPTS), order=("ID",))))
+query("csv_text", "languages", sql="SELECT concat_ws(',', ID, Name, Glottocode) AS line FROM languages")(lambda l: C.csv_lines(l.select("ID", "Name", "Glottocode")))
+query("csv_row_count", "segments", sql="SELECT id, length(content_text) - length(replace(content_text, chr(10), '')) AS n FROM segments")(lambda s: s.select("id", C.csv_row_count(F.col("content_text")).cast("long").alias("n")))
+query("store_insert", "materials", sql="SELECT id, title, status FROM materials UNION ALL SELECT 'new', 'A title', 'uploaded'")(lambda m: K.insert(m, [{"id": "new", "title": "A title"}], {"status": "uploaded"}).select("id", "title", "status"))
+query("store_update", "materials", sql="SELECT id, CASE WHEN id = 'src2' THEN 'Other' ELSE title END AS title, CASE WHEN id = 'src2' THEN '2025' ELSE updated_at END AS updated_at, year FROM materials")(lambda m: K.update(m, "id", "src2", {"title": "Other"}, "2025").select("id", "title", "updated_at", "year"))
+query("ensure_column", "materials", sql="SELECT id, year, 'x' AS extra FROM materials")(lambda m: K.ensure_column(K.ensure_column(m, "extra", "string", "x"), "year", "int").select("id", "year", "extra"))
+query("delete_material", "materials", "files", "segments", sql="SELECT 'materials' AS name, count(*) AS n FROM materials WHERE id <> 'src2' UNION ALL SELECT 'files', count(*) FROM files WHERE material_id IS NULL OR material_id <> 'src2' UNION ALL SELECT 'segments', count(*) FROM segments WHERE material_id IS NULL OR material_id <> 'src2'")(lambda m, f, s: _counted(K.delete_material({"materials": m, "files": f, "segments": s}, "src2")))
+query("foreign_references", "observations", "segments", sql="SELECT o.id FROM observations o WHERE source_segment_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM segments s WHERE s.id = o.source_segment_id + 1 AND s.material_id = o.material_id)")(lambda o, s: K.owned(o.withColumn("source_segment_id", F.col("source_segment_id") + 1), s, "source_segment_id").select("id"))
+query("affected_images", "observations", sql="SELECT DISTINCT source_image_id AS image_id FROM observations WHERE source_image_id IS NOT NULL AND (observation_type = 'click' OR id % 3 = 0)")(lambda o: K.affected_images(o.filter("observation_type = 'click'"), o.filter("id % 3 = 0")))
+query("observation_filter", "observations", sql="SELECT id FROM observations WHERE material_id = 'src1' AND observation_type = 'view' ORDER BY updated_at DESC, id LIMIT 100")(lambda o: K.listing(o.filter("material_id = 'src1' AND observation_type = 'view'"), "observations", 100).select("id"))
+query("file_listing", "files", sql="SELECT id, original_filename FROM files WHERE material_id = 'src1' AND file_size > 0 ORDER BY uploaded_at DESC, id")(lambda f: K.without_internal(K.listing(K.uploads(f.filter("material_id = 'src1'")), "files")).select("id", "original_filename"))
+query("run_listing", "runs", sql="SELECT id, status FROM runs WHERE material_id = 'src1' ORDER BY created_at DESC, id DESC LIMIT 20")(lambda r: K.listing(r.filter("material_id = 'src1'"), "runs", 20).select("id", "status"))
+query("capped_segments", "segments", "files", sql="SELECT s.id FROM segments s JOIN files f ON f.id = s.material_id || '/' || split_part(s.source_locator, '.', 1) WHERE s.material_id = 'src1' ORDER BY uploaded_at, f.id, s.id LIMIT 5")(lambda s, f: K.capped(s.filter("material_id = 'src1'").select("id", F.col("id").alias("chunk"), F.concat("material_id", F.lit("/"), F.substring_index("source_locator", ".", 1)).alias("file_id")), f.select("id", "uploaded_at"), 5).select("id"))
+QUERIES["repository_constants"] = lambda spark, _: R.constants(spark)
+ORACLE_SQL["repository_constants"] = "SELECT kind, value FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, vs in (("source_type", R.SOURCE_TYPES), ("status", R.STATUSES), ("observation_type", R.OBSERVATION_TYPES)) for v in vs) + ") t(kind, value)"
+QUERIES["report_terms"] = lambda spark, _: spark.createDataFrame([(t,) for t in E.parse_terms("paper  mulberry, Tapa;tapa\nbeat ,, ")], "term string")
+ORACLE_SQL["report_terms"] = "SELECT term FROM (VALUES ('paper mulberry'), ('Tapa'), ('beat')) t(term)"
+query("normal_urls", "links", sql="SELECT id, CASE WHEN id % 5 = 0 THEN NULL ELSE trim(discovered_url) END AS url FROM links")(lambda l: l.select("id", T.normal_url(F.concat(F.when(F.col("id") % 5 == 0, "ftp:").otherwise(" "), "discovered_url", F.lit(" \n"))).alias("url")))
+query("json_vectors", "segment_embeddings", sql="SELECT segment_id, round(CAST(embedding[1] AS DOUBLE), 4) AS first, len(embedding) AS n FROM segment_embeddings")(lambda e: e.select("segment_id", T.json_vector(F.to_json("embedding")).alias("v")).select("segment_id", F.round(F.col("v")[0], 4).alias("first"), F.size("v").cast("long").alias("n")))
+query("hamming_fingerprints", "materials", sql="SELECT id, CAST(list_sum(list_transform(range(1, 65), lambda i: bit_count(xor(instr('0123456789abcdef', substr(sha256(id), i, 1)) - 1, instr('0123456789abcdef', substr(sha256(title), i, 1)) - 1)))) AS INT) AS bits FROM materials")(lambda m: m.select("id", T.hamming_hex(F.sha2("id", 256), F.sha2("title", 256)).cast("int").alias("bits")))
+query("near_images", "images")(lambda i: P.drop_near_images(i.withColumn("fingerprint", F.when(F.col("id") % 9 > 0, F.sha2((F.col("id") % 50).cast("string"), 256)).otherwise(""))).select("id"))
+query("informative_images", "segments", sql="SELECT id FROM (SELECT id, list_transform(range(0, 64), lambda i: (id * 7 + i * (id % 4)) % 256) AS px FROM segments) WHERE NOT (list_max(px) - list_min(px) < 8 OR list_stddev_pop(px) < 3 OR ((list_avg(px) < 4 OR list_avg(px) > 251) AND list_stddev_pop(px) < 8))")(lambda s: s.filter(P.informative(F.expr("transform(sequence(0, 63), i -> cast((id * 7 + i * (id % 4)) % 256 as int))"))).select("id"))
+query("token_index", "segments", sql="SELECT token, id, count(*) AS n FROM (SELECT id, unnest(" + " || ".join(_TOKENS.format(c=c) for c in S.INDEXED) + ") AS token FROM segments) GROUP BY 1, 2")(I.token_table)
+query("token_index_follows", "segments", sql="SELECT count(*) AS n, sum(n) AS tokens FROM (SELECT token, id, count(*) AS n FROM (SELECT id, unnest(" + " || ".join(_TOKENS.format(c=c) for c in S.INDEXED) + ") AS token FROM (SELECT id, page_ref, source_locator, CASE WHEN id % 10 = 1 THEN 'new words' ELSE content_text END AS content_text FROM segments WHERE id % 10 <> 0)) GROUP BY 1, 2)")(lambda s: I.follow(I.token_table(s), s.filter("id % 10 = 1").withColumn("content_text", F.lit("new words")), s.filter("id % 10 = 0")).agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("tokens")))
+
+
+query("index_segments", "segments", "segment_embeddings", sql="SELECT segment_id, CASE WHEN segment_id IN (SELECT id FROM segments WHERE id NOT IN (SELECT segment_id FROM segment_embeddings WHERE model = 'm1') ORDER BY id LIMIT 50) THEN 'm1' ELSE model END AS model FROM (SELECT segment_id, model FROM segment_embeddings UNION ALL SELECT id, 'm1' FROM (SELECT id FROM segments WHERE id NOT IN (SELECT segment_id FROM segment_embeddings WHERE model = 'm1') ORDER BY id LIMIT 50) WHERE id NOT IN (SELECT segment_id FROM segment_embeddings))")(lambda s, e: I.index_segments(s, e.select("segment_id", F.lit("").alias("material_id"), "model", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")), "m1", _embed_locally(), 50).select("segment_id", "model"))
+query("index_images", "images", "image_embeddings", "segments", "observations")(lambda i, e, s, o: I.index_images(i, e.select("image_id", F.lit("").alias("material_id"), "model", "method_version", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")), s, o, "m0", "v2", _embed_locally(), informative=F.col("id") % 7 != 0, limit=20)[2])
+query("live_sessions", "observations", sql="SELECT session_id, state, CAST(saved_at AS VARCHAR) AS saved_at FROM (SELECT material_id AS session_id, arg_max(observation_type, (updated_at, observation_type)) AS state, max(updated_at) AS saved_at FROM observations GROUP BY 1) WHERE CAST(saved_at AS TIMESTAMP) + INTERVAL 21600 SECOND > (SELECT CAST(max(updated_at) AS TIMESTAMP) FROM observations)")(lambda o: _live(o))
+query("job_states", "observations", sql="SELECT material_id AS job_id, arg_max(observation_type, (updated_at, r)) AS status FROM (SELECT *, CASE observation_type WHEN 'queued' THEN 1 ELSE 0 END AS r FROM (SELECT material_id, updated_at, CASE WHEN id % 3 = 0 THEN 'queued' ELSE 'running' END AS observation_type, id FROM observations)) GROUP BY 1")(lambda o: M.job_states(o.select(F.col("material_id").alias("job_id"), F.col("updated_at").alias("at"), F.when(F.col("id") % 3 == 0, "queued").otherwise("running").alias("status"))).select("job_id", "status"))
+query("material_keywords", "segments")(lambda s: D.material_keywords(s, ["the", "and", "that"]))
+query("image_context_text", "images", "segments")(lambda i, s: R.image_context_text(i, s))
+QUERIES["page_links"] = lambda spark, sf_dir: W.page_links(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def _embed_locally():
+    """A function made here goes to the workers by value: they need not have this package."""
+
+    def embed(texts):
+        return [[float(len(t)), 1.0] for t in texts]
+
+    return embed
+
+
+def _counted(tables: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def _live(observations: DataFrame) -> DataFrame:
+    """Sessions that live when the last row was written."""
+    events = observations.select(F.col("material_id").alias("session_id"), F.col("observation_type").alias("state"), F.col("updated_at").alias("saved_at"))
+    last = events.agg(F.max("saved_at").alias("now"))
+    return M.live_sessions(events, last)

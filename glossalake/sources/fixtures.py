@@ -12,7 +12,7 @@ VIEWS: dict[str, str] = {
     "forms": "SELECT o_custkey AS Language_ID, l_partkey AS Parameter_ID, concat(l_returnflag, l_linestatus, '-', l_linenumber) AS Value FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "flat": f"SELECT s_suppkey AS ID, s_name AS Name, concat('supplier of nation ', s_nationkey) AS Description, {_COORD.format(k='s_suppkey')} FROM supplier",
     "materials": "SELECT source AS id, concat('Material ', source) AS title, CASE CAST(substring(source, 4) AS INT) % 3 WHEN 0 THEN 'ready_for_text_extraction' WHEN 1 THEN 'draft' ELSE 'reviewed' END AS status, CASE CAST(substring(source, 4) AS INT) % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE concat('Collection ', CAST(substring(source, 4) AS INT) % 5) END AS collection, concat('2024-01-', lpad(CAST(CAST(substring(source, 4) AS INT) + 1 AS STRING), 2, '0'), 'T00:00:00+00:00') AS updated_at, CASE CAST(substring(source, 4) AS INT) % 3 WHEN 0 THEN NULL ELSE concat('Author ', CAST(substring(source, 4) AS INT) % 4) END AS authors, CAST(1990 + CAST(substring(source, 4) AS INT) AS STRING) AS year, CASE CAST(substring(source, 4) AS INT) % 2 WHEN 0 THEN 'pdf' ELSE 'slide' END AS source_type, CASE CAST(substring(source, 4) AS INT) % 5 WHEN 1 THEN NULL ELSE concat('notes no ', CAST(substring(source, 4) AS INT) % 6) END AS abstract_or_notes, concat('ref ', CAST(substring(source, 4) AS INT) % 3) AS raw_reference, CASE CAST(substring(source, 4) AS INT) % 4 WHEN 2 THEN 'kw' END AS keywords, CASE CAST(substring(source, 4) AS INT) % 6 WHEN 5 THEN 'auto' END AS auto_keywords FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) s",
-    "files": "SELECT DISTINCT concat(source, '/', lang) AS id, source AS material_id, concat(lang, '.txt') AS original_filename FROM documents",
+    "files": "SELECT DISTINCT concat(source, '/', lang) AS id, source AS material_id, concat(lang, '.txt') AS original_filename, CASE lang WHEN 'en' THEN '2024-02-03' ELSE '2024-02-01' END AS uploaded_at, CASE lang WHEN 'de' THEN 0 ELSE 1000 END AS file_size, concat('/x/', lang) AS stored_path FROM documents",
     "segments": "SELECT doc_id AS id, source AS material_id, doc_id % 40 + 1 AS page_index, concat('page:', doc_id % 40 + 1) AS page_ref, CASE WHEN doc_id % 30 = 7 THEN concat(lang, '.csv') ELSE concat(lang, '.txt') END AS source_locator, CASE WHEN doc_id % 20 = 3 THEN 'references' ELSE 'document' END AS source_kind, text AS content_text FROM documents",
     "observations": "SELECT event_id AS id, event_type AS observation_type, props AS observed_text, user_id AS source_segment_id, CASE WHEN event_id % 2 = 0 THEN event_id % 500 END AS source_image_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 7 = 1 THEN ' ' ELSE concat('note ', event_id % 11) END AS notes, ts AS updated_at, source AS material_id, CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN 'page:0' END AS source_page_ref, CASE WHEN event_id % 5 = 0 THEN 'own.txt' END AS source_locator, CASE WHEN event_id % 4 = 0 THEN concat('quote ', event_id % 13) END AS context_quote FROM events JOIN documents ON user_id = doc_id",
     "runs": "SELECT event_id AS id, source AS material_id, CASE WHEN event_id % 5 = 0 THEN 'running' WHEN event_id % 5 = 1 THEN 'failed' WHEN event_id % 5 = 2 THEN 'empty' ELSE 'ok' END AS status, ts AS created_at FROM events JOIN documents ON user_id = doc_id WHERE event_type IN ('view', 'click')",

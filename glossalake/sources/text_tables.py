@@ -148,7 +148,7 @@ def synthetic(spark: SparkSession, languages: int = 50, parameters: int = 10, fl
     place = lambda c: {"Latitude": hashed(c, 11, 12000) / 100 - 60, "Longitude": hashed(c, 13, 36000) / 100 - 180}
     l = spark.range(1, languages + 1).withColumnRenamed("id", "ID").withColumns({"Name": F.concat(F.lit("Language "), "ID"), "Glottocode": F.format_string("lang%04d", "ID"), **place("ID")})
     p = spark.range(1, parameters + 1).withColumnRenamed("id", "ID").withColumns({"Name": F.concat(F.lit("concept "), "ID"), "Concepticon_Gloss": F.concat(F.lit("GLOSS "), "ID")})
-    pairs = l.select(F.col("ID").alias("Language_ID"), F.explode(F.sequence(F.lit(1), F.lit(parameters))).cast("long").alias("Parameter_ID"))
+    pairs = l.select(F.col("ID").alias("Language_ID"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(parameters).cast("long"))).alias("Parameter_ID"))
     f = pairs.select(((F.col("Language_ID") - 1) * parameters + F.col("Parameter_ID")).alias("ID"), "Language_ID", "Parameter_ID", F.concat(F.lit("form"), hashed("Language_ID", 17, 97), F.lit("-"), "Parameter_ID").alias("Value"))
     d = spark.range(1, flat + 1).withColumnRenamed("id", "ID").withColumns({"Name": F.concat(F.lit("site "), "ID"), "Description": F.concat(F.lit("made up "), hashed("ID", 19, 9)), **place("ID")})
     return {"languages": l, "parameters": p, "forms": f, "flat": d}

@@ -1 +1 @@
-"""Part of the engine; see the README for the map of modules."""
+"""Streams that keep indexes, sessions and job states up to date."""
