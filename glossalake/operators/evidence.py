@@ -159,6 +159,7 @@ def relevance_rank(relevance: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*map(F.lit, RANK)), relevance), F.lit(0)) + F.when(relevance.isin(*RANK), 0).otherwise(len(RANK) + 1)
 
 
+# The fields of a word list in a text.
 _ROW = "array<struct<language_name:string,concept:string,concept_group:string,form:string,source:string,latitude:string,longitude:string>>"
 _FIELDS = ("language_name", "concept", "concept_group", "form", "source", "latitude", "longitude")
 

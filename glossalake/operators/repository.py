@@ -17,6 +17,10 @@ OBSERVATION_TYPES = ("material", "motif", "other", "place", "process", "term")
 SEARCHED = ("title", "authors", "year", "collection", "abstract_or_notes", "raw_reference", "keywords", "auto_keywords")
 
 
+# How an image's context is headed.
+NEARNESS = ("Exact same source and page/slide as image ", "Same page/slide context as image ", "Nearby source context for image ")
+
+
 def checked(value: str | None, allowed: tuple[str, ...], what: str) -> str | None:
     if value is not None and value not in allowed:
         raise ValueError(f"{what} must be one of {', '.join(allowed)}")
@@ -121,7 +125,7 @@ def image_context_text(images: DataFrame, segments: DataFrame, most: int = 1600)
     line = F.concat(F.when(F.col("level") == 1, "").otherwise(F.concat(F.coalesce("s_loc", F.lit("None")), F.lit(" · "))), F.coalesce("s_ref", F.lit("None")), F.lit(": "), F.coalesce("content_text", F.lit("None")))
     text = body.groupBy("image_id").agg(F.min("level").alias("level"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("body"))
     of = images.select(F.col("id").alias("i"), F.concat(F.lit("("), F.coalesce("source_locator", F.lit("None")), F.lit(" · "), F.coalesce("page_ref", F.lit("None")), F.lit("):\n")).alias("place"))
-    head = F.when(F.col("level") == 1, "Exact same source and page/slide as image ").when(F.col("level") == 2, "Same page/slide context as image ").otherwise("Nearby source context for image ")
+    head = F.when(F.col("level") == 1, NEARNESS[0]).when(F.col("level") == 2, NEARNESS[1]).otherwise(NEARNESS[2])
     both = of.join(text, F.col("i") == F.col("image_id"), "left")
     return both.select(F.col("i").alias("image_id"), trim_context(F.concat(head, "place", F.coalesce("body", F.lit(""))), most).alias("context"))
 

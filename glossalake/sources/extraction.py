@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_extracted
 from ..operators.documents import packed_segments
 
-# Kinds of segments and how their places are named, groups of rich text that hold no words.
+# Kinds of segments and how their places are named; groups of rich text that hold no words, its escapes by code, what its marks become, and escaped characters.
 KINDS = {"pdf": ("file_pdf", "page"), "pptx": ("file_slide", "slide"), "rtf": ("file_rtf", "chunk"), "txt": ("file_text", "chunk")}
 GROUPS = ("fonttbl", "colortbl", "stylesheet", "info")
+CODE, MARKS, ESCAPED = r"\\'([0-9a-fA-F]{2})", ((r"\\par[d]?", "\n"), (r"\\line", "\n"), (r"\\[a-zA-Z]+\d* ?", " ")), ((r"\{", "{"), (r"\}", "}"), (r"\\", "\\"))
 
 
 def _reader() -> Callable[[str, bytes], Iterator[tuple[int, str]]]:
@@ -34,10 +35,10 @@ def _reader() -> Callable[[str, bytes], Iterator[tuple[int, str]]]:
         """The words of rich text, roughly: groups of tables and control words go, escapes and paragraph marks are resolved."""
         for g in GROUPS:
             text = re.sub(r"{\\" + g + r".*?}", " ", text, flags=re.DOTALL)
-        text = re.sub(r"\\'([0-9a-fA-F]{2})", lambda m: chr(int(m[1], 16)), text)
-        for pattern, by in ((r"\\par[d]?", "\n"), (r"\\line", "\n"), (r"\\[a-zA-Z]+\d* ?", " ")):
+        text = re.sub(CODE, lambda m: chr(int(m[1], 16)), text)
+        for pattern, by in MARKS:
             text = re.sub(pattern, by, text)
-        for escaped, by in ((r"\{", "{"), (r"\}", "}"), (r"\\", "\\")):
+        for escaped, by in ESCAPED:
             text = text.replace(escaped, by)
         return text.replace("{", " ").replace("}", " ")
 

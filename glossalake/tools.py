@@ -17,6 +17,7 @@ from .sources import text_tables as C
 
 #: Turns that a planner sees, characters of a tool's result that a prompt shows, what a reply without a meaning becomes.
 TURNS, SHOWN, LOST = 10, 3000, "I'm not sure how to help with that. Could you rephrase?"
+# How calls and fenced objects are recognised in a reply.
 _CALL = re.compile(r"tool|action", re.IGNORECASE)
 _FENCED_CALL = re.compile(r"```(?:json)?\s*\{[^`]*?(?:tool|action)[^`]*?\}\s*```", re.DOTALL | re.IGNORECASE)
 _FENCED = re.compile(r"```(?:json)?\s*(\{.*?\})\s*```", re.DOTALL)
