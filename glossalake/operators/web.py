@@ -90,14 +90,15 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def crawl(edges: DataFrame, pages: DataFrame, root, max_depth: int = 1, max_pages: int = 20) -> DataFrame:
     """Breadth-first visits from `root`: url, source_url, depth, status ('ok', or 'fetch_error' for urls that `pages` lacks).
 
-    edges (src, pos, dst): links of a page in their order; pages (url). A url is visited once, from the first page in
+    edges (src, pos, dst): links of a page in their order; pages (url, and a status, such as http_404 or access_restricted, if there is such a column). A url is visited once, from the first page in
     visiting order that names it; pages that can't be fetched count as visits but lead nowhere. `max_pages` and `max_depth` are
     the crawl's own limits, so each level's frontier is at most max_pages rows. Null targets are no links.
     """
-    known = pages.select(F.col("url").alias("k")).distinct()
+    told = F.col("status") if "status" in pages.columns else F.lit("ok")
+    known = pages.groupBy(F.col("url").alias("k")).agg(F.max(told).alias("status"))
 
     def visit(level: DataFrame) -> DataFrame:
-        return level.join(known, F.col("url") == F.col("k"), "left").withColumn("status", F.when(F.col("k").isNotNull(), "ok").otherwise("fetch_error")).drop("k")
+        return level.join(known, F.col("url") == F.col("k"), "left").withColumn("status", F.coalesce("status", F.lit("fetch_error"))).drop("k")
 
     columns = ("url", "source_url", "depth", "place", "status")
     start = edges.sparkSession.range(1).select(F.lit(root).alias("url"))

@@ -318,3 +318,14 @@ def _live(observations: DataFrame) -> DataFrame:
     events = observations.select(F.col("material_id").alias("session_id"), F.col("observation_type").alias("state"), F.col("updated_at").alias("saved_at"))
     last = events.agg(F.max("saved_at").alias("now"))
     return M.live_sessions(events, last)
+
+
+def _crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl over the links of the stored pages, from the one with the least url; most links lead out of the tables."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    urls = pages.select(T.normal_url(F.col("url")).alias("url"), "html").dropna(subset=["url"])
+    root = urls.agg(F.min("url")).first()[0]
+    return W.crawl(W.page_links(urls), urls.select("url"), root, 2, 100).select("url", "depth", "status")
+
+
+QUERIES["crawl_pages"] = _crawl_pages

@@ -50,3 +50,10 @@ def test_manuscript(spark):
     rows = spark.createDataFrame([(t, w) for t, w in cases.items()], "t string, want string")
     for r in rows.select("t", "want", W.clean_extracted(F.col("t")).alias("got")).collect():
         assert r.got == r.want, r.t
+
+
+def test_crawl_statuses(spark):
+    pages = spark.createDataFrame([("a", "ok"), ("b", "http_404"), ("c", "ok"), ("d", "access_restricted")], "url string, status string")
+    edges = spark.createDataFrame([("a", 0, "b"), ("a", 1, "c"), ("b", 0, "x"), ("c", 0, "d"), ("c", 1, "a"), ("c", 2, "y")], "src string, pos int, dst string")
+    got = [(r.url, r.depth, r.status) for r in W.crawl(edges, pages, "a", 3, 10).collect()]
+    assert got == [("a", 0, "ok"), ("b", 1, "http_404"), ("c", 1, "ok"), ("d", 2, "access_restricted"), ("y", 2, "fetch_error")]
