@@ -289,7 +289,7 @@ query("token_index_follows", "segments", sql="SELECT count(*) AS n, sum(n) AS to
 
 query("index_segments", "segments", "segment_embeddings", sql="SELECT segment_id, CASE WHEN segment_id IN (SELECT id FROM segments WHERE id NOT IN (SELECT segment_id FROM segment_embeddings WHERE model = 'm1') ORDER BY id LIMIT 50) THEN 'm1' ELSE model END AS model FROM (SELECT segment_id, model FROM segment_embeddings UNION ALL SELECT id, 'm1' FROM (SELECT id FROM segments WHERE id NOT IN (SELECT segment_id FROM segment_embeddings WHERE model = 'm1') ORDER BY id LIMIT 50) WHERE id NOT IN (SELECT segment_id FROM segment_embeddings))")(lambda s, e: I.index_segments(s, e.select("segment_id", F.lit("").alias("material_id"), "model", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")), "m1", _embed_locally(), 50).select("segment_id", "model"))
 query("index_images", "images", "image_embeddings", "segments", "observations")(lambda i, e, s, o: I.index_images(i, e.select("image_id", F.lit("").alias("material_id"), "model", "method_version", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")), s, o, "m0", "v2", _embed_locally(), informative=F.col("id") % 7 != 0, limit=20)[2])
-query("live_sessions", "observations", sql="SELECT session_id, state, CAST(saved_at AS VARCHAR) AS saved_at FROM (SELECT material_id AS session_id, arg_max(observation_type, (updated_at, observation_type)) AS state, max(updated_at) AS saved_at FROM observations GROUP BY 1) WHERE CAST(saved_at AS TIMESTAMP) + INTERVAL 21600 SECOND > (SELECT CAST(max(updated_at) AS TIMESTAMP) FROM observations)")(lambda o: _live(o))
+query("live_sessions", "observations", sql="SELECT session_id, state FROM (SELECT material_id AS session_id, arg_max(observation_type, (updated_at, observation_type)) AS state, max(updated_at) AS saved_at FROM observations GROUP BY 1) WHERE CAST(saved_at AS TIMESTAMP) + INTERVAL 21600 SECOND > (SELECT CAST(max(updated_at) AS TIMESTAMP) FROM observations)")(lambda o: _live(o).select("session_id", "state"))
 query("job_states", "observations", sql="SELECT material_id AS job_id, arg_max(observation_type, (updated_at, r)) AS status FROM (SELECT *, CASE observation_type WHEN 'queued' THEN 1 ELSE 0 END AS r FROM (SELECT material_id, updated_at, CASE WHEN id % 3 = 0 THEN 'queued' ELSE 'running' END AS observation_type, id FROM observations)) GROUP BY 1")(lambda o: M.job_states(o.select(F.col("material_id").alias("job_id"), F.col("updated_at").alias("at"), F.when(F.col("id") % 3 == 0, "queued").otherwise("running").alias("status"))).select("job_id", "status"))
 query("material_keywords", "segments")(lambda s: D.material_keywords(s, ["the", "and", "that"]))
 query("image_context_text", "images", "segments")(lambda i, s: R.image_context_text(i, s))
