@@ -155,9 +155,13 @@ def semantic_top(embeddings: DataFrame, query: list[float], k: int = 12) -> Data
 def keyword_scores(docs: DataFrame, stop: list[str], least: int = 2, text: str = "content_text") -> DataFrame:
     """(phrase, score) of at least `least`: words, pairs and triples of what stop words leave, weighted 1, 3 and 5. One scan; phrases are counted before they move."""
     t = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(KEYWORD), F.lit(0)), lambda x: ~x.isin(stop))
-    spans = [F.expr(f"if(size(t) < {n}, array(), transform(sequence(1, greatest(size(t) - {n - 1}, 1)), i -> named_struct('w', {w}, 'phrase', array_join(slice(t, i, {n}), ' '))))").cast("array<struct<w:int,phrase:string>>") for n, w in ((1, 1), (2, 3), (3, 5))]
-    grams = docs.select(t.alias("t")).select(F.explode(F.concat(*spans)).alias("g"))
-    return grams.groupBy(F.col("g.phrase").alias("phrase")).agg(F.sum("g.w").alias("score")).filter(F.col("score") >= least)
+    none, n = F.array().cast("array<string>"), F.size("t")
+    joined = lambda a, b: F.concat(a, F.lit(" "), b)
+    words = docs.select(t.alias("t")).withColumn("two", F.when(n >= 2, F.zip_with(F.slice("t", 1, n - 1), F.slice("t", 2, n - 1), joined)).otherwise(none))
+    words = words.withColumn("three", F.when(n >= 3, F.zip_with(F.slice("two", 1, n - 2), F.slice("t", 3, n - 2), joined)).otherwise(none))
+    counted = words.select(F.explode(F.concat("t", "two", "three")).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    # A word has no blank, a pair one, a triple two: 1, 3 and 5.
+    return counted.select("phrase", (F.col("n") * (F.regexp_count("phrase", F.lit(" ")) * 2 + 1)).cast("long").alias("score")).filter(F.col("score") >= least)
 
 
 def index_status(segments: DataFrame, embeddings: DataFrame, images: DataFrame, image_embeddings: DataFrame, model: str, version: str) -> DataFrame:
