@@ -69,7 +69,8 @@ def near_links(prints: DataFrame, hot: int = 512) -> DataFrame:
             on &= F.col(f"a_{k}") == F.col(f"b_{k}")
         near = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= 3
         once = F.expr("CASE (shiftrightunsigned(a_fp ^ b_fp, CAST(a_tag % 2 * 32 AS INT)) & 4294967295) WHEN 0 THEN a_tag div 2 % 64 = 0 ELSE true END")
-        return left.join(right, on & near & once).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
+        # Spark takes a table for no larger by explode(), and would send 64 rows a fingerprint through the driver to every task.
+        return left.join(right.hint("merge"), on & near & once).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
 
     plain = meet(keyed.join(crowded, F.col("tag") == F.col("t"), "left_anti"), ["tag"])
     hot_rows = keyed.join(crowded, F.col("tag") == F.col("t"), "left_semi").withColumn("byte", F.explode(F.sequence(F.lit(0), F.lit(3))))

@@ -119,6 +119,18 @@ def test_links_against_brute_force(spark, hot):
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
 
 
+def test_variants_are_not_broadcast(spark):
+    """Spark takes the 64 variants of each fingerprint for as small as the fingerprints; gathered in the driver they fill it."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+        plan = simhash.near_links(spark.range(100).select(F.col("id").alias("fp")))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = re.findall(r"(\w+Join) \[a_tag", plan)
+    assert len(joins) == 2 and set(joins) == {"SortMergeJoin"}
+
+
 def test_simhash_components(spark, odd):
     from xxhash import xxh64_intdigest
 
