@@ -116,7 +116,7 @@ def extracted_sql(text: str) -> str:
 
 query("clean_text", "segments", sql=f"SELECT id, {clean_sql('content_text')} AS text FROM segments")(lambda s: s.select("id", T.clean_report_text(F.col("content_text")).alias("text")))
 _SHORT = "replace(content_text, '.', '.' || chr(13) || chr(10) || '   ' || chr(7))"
-query("trim_context", "segments", sql=rf"SELECT id, CASE WHEN length(t) <= 200 THEN t ELSE regexp_replace(regexp_replace(substring(t, 1, 200), ' [^ ]*$', ''), '^\s+|\s+$', '', 'g') END AS text FROM (SELECT id, {extracted_sql(_SHORT)} AS t FROM segments)")(lambda s: s.select("id", T.trim_context(F.replace("content_text", F.lit("."), F.lit(".\r\n   \x07")), 200).alias("text")))
+query("trim_context", "segments", sql=rf"SELECT id, CASE WHEN length(t) <= 200 THEN t ELSE regexp_replace(regexp_replace(substring(t, 1, 200), ' [^ ]*$', ''), '^\s+|\s+$', '', 'g') END AS text FROM (SELECT id, {extracted_sql(_SHORT)} AS t FROM segments)")(lambda s: s.select("id", T.trim_context(F.replace("content_text", F.lit("."), F.lit(".\r\n   \x07")), 200, plain=True).alias("text")))
 query("observation_defaults", "observations", "segments", "images", sql=f"""SELECT o.id, coalesce(nullif(o.source_page_ref, ''), nullif(s.page_ref, ''), nullif(i.page_ref, '')) AS source_page_ref, coalesce(nullif(o.source_locator, ''), nullif(s.source_locator, ''), nullif(i.source_locator, '')) AS source_locator,
 coalesce(nullif(o.context_quote, ''), nullif(s.content_text, ''), nullif({extracted_sql("concat_ws(chr(10) || chr(10), nullif(visual_caption, ''), nullif(ocr_text, ''))")}, '')) AS context_quote FROM observations o LEFT JOIN segs s ON o.source_segment_id = s.id LEFT JOIN images i ON o.source_image_id = i.id""".replace("segs", _SOMES))(lambda o, s, i: R.observation_defaults(o, s.filter(_SOME), i).select("id", "source_page_ref", "source_locator", "context_quote"))
 query("index_status", "segments", "segment_embeddings", "images", "image_embeddings", sql="SELECT (SELECT count(*) FROM segments) AS segments, (SELECT count(*) FROM segment_embeddings WHERE model = 'm0') AS indexed_segments, (SELECT count(*) FROM images) AS images, (SELECT count(*) FROM image_embeddings WHERE model = 'm0' AND method_version = 'v2') AS indexed_images")(lambda s, e, i, j: R.index_status(s, e, i, j, "m0", "v2"))

@@ -63,3 +63,12 @@ def test_matrix_drops_blank_forms_and_null_keys(spark):
 def test_upsert(spark):
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c")], "k int, v string")
     assert sorted(map(tuple, R.upsert(old, new, "k").collect())) == [(1, "a"), (2, "c")]
+
+
+def test_trimmed_odd_texts_against_duckdb(spark, tmp_path):
+    """Null, white space beyond ASCII at the ends and at the cut, and dense line numbers."""
+    texts = [None, "", "\u00a0x\u00a0", "a\u0085b.\u3000", "u" * 199 + "\u00a0 v w", "".join(f"{i} some words here." for i in range(1, 12)), "In 1990. In 1991. In 1992. In 1993. In 1994. In 1995. x", "\x0b a \x0c", " \U0001f600" * 180]
+    pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "lang": "en", "source": "src1", "n_chars": 1}).to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    assert _rows(plans.QUERIES["trim_context"](spark, str(tmp_path)).toPandas()) == _rows(con.execute(plans.ORACLE_SQL["trim_context"]).df())
