@@ -95,6 +95,20 @@ def test_clusters(spark):
         clustering.cluster(spark.createDataFrame([("a",)], "LangID string"))
 
 
+def test_clusters_of_many_equal_rows(spark):
+    """12,000 rows of four kinds, and a few odd ones: equal rows have one label, that of the rows one by one where these fit."""
+    kinds = [(1, 1, 0, 0), (1, 1, 1, 0), (0, 0, 0, 1), (0, 0, 1, 1)]
+    make = lambda n: [(i, *kinds[i % 4]) for i in range(n)] + [(n + i, *v) for i, v in enumerate([(1, 0, 0, 1), (None, 1, 1, 1)])]
+    kind = "ID long, a int, b int, c int, d int"
+    out = clustering.cluster(spark.createDataFrame(make(12_000), kind), order=("ID",)).toPandas()
+    assert list(out.columns) == ["ID", "a", "b", "c", "d", "cluster_id"] and sorted(out["ID"]) == list(range(12_002))
+    found = out.groupby(["a", "b", "c", "d"], dropna=False)["cluster_id"].agg(["nunique", "first", "size"])
+    assert len(found) == 6 and (found["nunique"] == 1).all() and out["a"].isna().sum() == 1
+    few = clustering.cluster(spark.createDataFrame(make(400), kind), order=("ID",)).toPandas()
+    assert few.groupby(["a", "b", "c", "d"], dropna=False)["cluster_id"].first().tolist() == found["first"].tolist()
+    assert clustering.summary(clustering.cluster(spark.createDataFrame(make(12_000), kind), order=("ID",))).first().total_clusters == 4
+
+
 def _fields(data: bytes):
     at = 0
 
