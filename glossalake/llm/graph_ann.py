@@ -23,11 +23,12 @@ AUDIT, AUDITED, LEAST_RECALL = 20, 1_024, 0.9
 #: Rows of one shard that one task deals to its parts.
 DEAL = 20_000
 
-_SHARD = "cell string, rid long, vec array<double>, n long, was long"
+_SHARD = "cell string, rid long, vec {kind}, norm double, n long, was long"
 
 
 def _vectors(rows: pd.DataFrame) -> np.ndarray:
-    return np.array(rows["vec"].tolist(), np.float64).reshape(len(rows), -1)
+    """Unit rows in double precision. Vectors travel as they are stored, with their norms: as floats they take half the room."""
+    return np.array(rows["vec"].tolist(), np.float64).reshape(len(rows), -1) / rows["norm"].to_numpy()[:, None]
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
@@ -63,7 +64,7 @@ def _deal(radius: float):
 
     def run(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(centres):
-            return rows[["cell", "rid", "vec", "n", "size"]].rename(columns={"size": "was"})
+            return rows[["cell", "rid", "vec", "norm", "n", "size"]].rename(columns={"size": "was"})
         x, k = _vectors(rows), int(centres["k"].iloc[0])
         c = np.array(centres["at"].iloc[0], np.float64).reshape(k, -1)
         d = np.maximum((x**2).sum(1)[:, None] + (c**2).sum(1)[None] - 2 * x @ c.T, 0)
@@ -72,13 +73,13 @@ def _deal(radius: float):
         over = (d - d.min(1, keepdims=True) <= gap[near] * radius + 1e-9) | (np.arange(k) == near[:, None])
         i, to = np.nonzero(over)
         out = rows.iloc[i]
-        return pd.DataFrame({"cell": [f"{a}/{b}" for a, b in zip(out["cell"], to.tolist(), strict=True)], "rid": out["rid"].to_numpy(), "vec": out["vec"].to_numpy(), "n": out["n"].to_numpy(), "was": out["size"].to_numpy()})
+        return pd.DataFrame({"cell": [f"{a}/{b}" for a, b in zip(out["cell"], to.tolist(), strict=True)], "rid": out["rid"].to_numpy(), "vec": out["vec"].to_numpy(), "norm": out["norm"].to_numpy(), "n": out["n"].to_numpy(), "was": out["size"].to_numpy()})
 
     return run
 
 
 def shards(nodes: DataFrame, radius: float, cell: int = CELL) -> DataFrame:
-    """(cell, rid, vec, n, was): overlapping shards of the nodes of each label.
+    """(cell, rid, vec, norm, n, was): overlapping shards of the nodes of each label.
 
     A shard of more than `cell` vectors is split by centres that are fitted on a bounded sample of it. Each vector goes to
     its nearest centre, and to every other one if the plane midway between the two is within half of `radius`, a link's length: the ends of a
@@ -87,7 +88,8 @@ def shards(nodes: DataFrame, radius: float, cell: int = CELL) -> DataFrame:
     and centres stay in tables; the driver learns only whether there is a shard to split.
     """
     kind = F.col("label").cast("string")
-    now = materialise(nodes.select(F.concat(F.length(kind), F.lit(":"), kind).alias("cell"), "rid", "vec", "n", F.lit(1 << 62).alias("was")))
+    now = nodes.select(F.concat(F.length(kind), F.lit(":"), kind).alias("cell"), "rid", "vec", "norm", "n", F.lit(1 << 62).alias("was"))
+    shard = _SHARD.format(kind=nodes.schema["vec"].dataType.simpleString())
     while True:
         sizes = now.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.min("was").alias("before")).filter((F.col("size") > cell) & (F.col("size") <= 0.8 * F.col("before")))
         sizes = materialise(sizes.select(F.col("cell").alias("c"), "size"))
@@ -98,7 +100,7 @@ def shards(nodes: DataFrame, radius: float, cell: int = CELL) -> DataFrame:
         centres = some.groupBy("cell").applyInPandas(_centres(cell, radius), "cell string, k int, at array<double>")
         parts = F.ceil(F.col("size") / DEAL)
         centres = centres.join(sizes, F.col("cell") == F.col("c")).select("cell", "k", "at", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
-        dealt = large.withColumn("part", F.pmod(F.xxhash64("rid"), parts)).groupBy("cell", "part").cogroup(centres.groupBy("cell", "part")).applyInPandas(_deal(radius), _SHARD)
+        dealt = large.withColumn("part", F.pmod(F.xxhash64("rid"), parts)).groupBy("cell", "part").cogroup(centres.groupBy("cell", "part")).applyInPandas(_deal(radius), shard)
         now = materialise(now.join(sizes, F.col("cell") == F.col("c"), "left_anti").union(dealt))
 
 
@@ -394,19 +396,19 @@ def _links(nodes: DataFrame, least: float, cell: int) -> DataFrame:
     lists = dealt.join(sizes, F.col("cell") == F.col("c"), "left_anti").groupBy("cell").applyInPandas(_build, "rid long, cell string, nbrs array<long>")
     lists = lists.union(dealt.join(sizes, F.col("cell") == F.col("c"), "left_semi").select("rid", "cell", F.array().cast("array<long>")))
     united = lists.groupBy("rid").agg(F.collect_list("cell").alias("cells"), F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))
-    ready = materialise(dealt.select("cell", F.col("rid").alias("r"), "vec", "n").join(united, F.col("r") == F.col("rid")).drop("r"))
+    ready = materialise(dealt.select("cell", F.col("rid").alias("r"), "vec", "norm", "n").join(united, F.col("r") == F.col("rid")).drop("r"))
     found = ready.join(sizes, F.col("cell") == F.col("c"), "left_anti").groupBy("cell").applyInPandas(_search(least), _FOUND)
     alike = ready.drop("nbrs").join(sizes, F.col("cell") == F.col("c"))
     blocks = F.ceil(F.col("size") / cell)
     alike = alike.withColumn("block", F.pmod(F.xxhash64("rid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    alike = alike.select("cell", "rid", "vec", "n", "cells", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    alike = alike.select("cell", "rid", "vec", "norm", "n", "cells", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     return materialise(found.union(alike.groupBy("cell", "low", "high").applyInPandas(_compare(least), _FOUND)))
 
 
 def _audit(nodes: DataFrame, counted: DataFrame, least: float) -> DataFrame:
     """(hits, true): links counted of the audited nodes, and their true ones, each compared with all vectors of its label."""
     some = nodes.filter(F.col("least_id") % AUDIT == 0).orderBy(F.xxhash64("least_id"), "rid").limit(AUDITED)
-    picked = materialise(some.select("rid", F.col("label").cast("string").alias("label"), "vec"))
+    picked = materialise(some.select("rid", F.col("label").cast("string").alias("label"), "vec", "norm"))
     by_label = {k: (g["rid"].to_numpy(), _vectors(g)) for k, g in picked.toPandas().groupby("label")}  # AUDITED rows at most
 
     def count(parts):
@@ -416,7 +418,7 @@ def _audit(nodes: DataFrame, counted: DataFrame, least: float) -> DataFrame:
                     ids, q = by_label[k]
                     yield pd.DataFrame({"v": ids, "t": ((q @ _vectors(rows).T >= least) @ rows["n"].to_numpy()).astype(np.int64)})
 
-    true = nodes.select(F.col("label").cast("string").alias("label"), "vec", "n").mapInPandas(count, "v long, t long").groupBy("v").agg(F.sum("t").alias("t"))
+    true = nodes.select(F.col("label").cast("string").alias("label"), "vec", "norm", "n").mapInPandas(count, "v long, t long").groupBy("v").agg(F.sum("t").alias("t"))
     own = picked.select("rid").join(nodes.select("rid", "n"), "rid").join(counted, F.col("rid") == F.col("f"), "left").join(true, F.col("rid") == F.col("v"))
     links, t = F.coalesce("linked", F.lit(0)), F.col("t") - F.col("n")  # equal vectors aside
     return own.agg(F.coalesce(F.sum(F.least(links, t)), F.lit(0)).alias("hits"), F.coalesce(F.sum(t), F.lit(0)).alias("true"))
@@ -437,17 +439,17 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, cell: int = CELL, id_c
     lengths in one label are an error. An empty table gives no rows. Other columns, whatever their names, are not read.
     """
     ship(vectors.sparkSession)
-    base = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("raw"))
-    square = F.aggregate("raw", F.lit(0.0), lambda s, v: s + v * v)
+    kind = "array<float>" if vectors.select(vec_col).schema[0].dataType.simpleString() == "array<float>" else "array<double>"
+    base = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).cast(kind).alias("raw"))
+    square = F.aggregate("raw", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
     fine = F.col("label").isNotNull() & F.col("raw").isNotNull() & F.coalesce(square > 0, F.lit(False)) & F.coalesce(square < float("inf"), F.lit(False)) & ~F.coalesce(F.isnan(square), F.lit(True))
     base = base.withColumn("fine", fine)
     nodes = base.filter("fine").groupBy("label", "raw").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("n"))
-    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, v: s + v * v))
-    nodes = materialise(nodes.withColumn("norm", norm).select("label", "raw", "least_id", "n", F.monotonically_increasing_id().alias("rid"), F.transform("raw", lambda v: v / F.col("norm")).alias("vec")))
+    nodes = materialise(nodes.select("label", F.col("raw").alias("vec"), "least_id", "n", F.monotonically_increasing_id().alias("rid"), F.sqrt(square).alias("norm")))
     found = _links(nodes, least, cell)
     parts = connected_components(found.filter("rid <> root").select("rid", "root"))
     counted = materialise(found.groupBy(F.col("rid").alias("f")).agg(F.sum("linked").alias("linked")))
-    own = nodes.select("rid", "label", "raw", "least_id", "n").join(counted, F.col("rid") == F.col("f"), "left")
+    own = nodes.select("rid", "label", F.col("vec").alias("raw"), "least_id", "n").join(counted, F.col("rid") == F.col("f"), "left")
     own = own.join(parts, F.col("rid") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rid"))
     least_of = own.groupBy("part").agg(F.min("least_id").alias("c_id")).withColumnRenamed("part", "p")
     own = own.join(least_of, F.col("part") == F.col("p")).select(F.col("label").alias("l"), F.col("raw").alias("v"), (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("links"), "c_id")

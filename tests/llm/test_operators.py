@@ -304,6 +304,17 @@ def test_vectors_on_the_tables(spark):
     assert got["n_links"].to_dict() == links and got["component_id"].to_dict() == parts
 
 
+def test_float_vectors_are_written_once_as_floats(spark, monkeypatch):
+    """As stored, without a second copy in double precision, and with the links that double precision gives."""
+    written = []
+    monkeypatch.setattr(graph_ann, "materialise", lambda df, keep=graph_ann.materialise: written.append(df.dtypes) or keep(df))
+    df = spark.createDataFrame([(i, [1.0, i * 1e-2, 0.1], 0) for i in range(60)], "vec_id long, embedding array<float>, label int")
+    got = sorted(map(tuple, graph_ann.near_vectors(df)[0].collect()))
+    kinds = [[kind for _, kind in columns if kind in ("array<float>", "array<double>")] for columns in written]
+    assert {tuple(k) for k in kinds} == {(), ("array<float>",)}
+    assert got == sorted(map(tuple, graph_ann.near_vectors(df.withColumn("embedding", F.col("embedding").cast("array<double>")))[0].collect()))
+
+
 def test_odd_vectors(spark):
     kind = "vec_id long, embedding array<double>, label int, cell string, rid long, n int, vec int"
     rows = [(None, [1.0, 0.0], 0, "c", 1, 1, 1), (5, [1.0, 0.0], 0, "c", 1, 1, 1), (5, [1.0, 0.0], 0, "c", 1, 1, 1), (5, [0.0, 1.0], 0, "c", 1, 1, 1), (None, [0.0, 0.0], 0, "c", 1, 1, 1), (7, [1.0, 0.0], 1, "c", 1, 1, 1)]
