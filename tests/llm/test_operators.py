@@ -486,6 +486,27 @@ def test_lm_scores_do_not_depend_on_files(spark):
     assert np.allclose(a, b, rtol=1e-5)
 
 
+def test_lm_neither_writes_nor_shuffles_texts(spark, monkeypatch):
+    """Texts are cut once and go on as numbers; in how many chunks makes no difference."""
+    written = []
+    monkeypatch.setattr(lm, "materialise", lambda df, keep=lm.materialise: written.append(df.columns) or keep(df))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
+    whole = lm.score_documents(docs)
+    assert written and not any("text" in columns for columns in written)
+    assert "text" not in whole._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(lm, "CHUNK", 3_000)
+    monkeypatch.setattr(lm, "BLOCK", 64 << 20)  # as one block, as before
+    a, b = (x.toPandas().set_index("doc_id").sort_index() for x in (whole, lm.score_documents(docs)))
+    assert np.allclose(a["score"], b["score"], rtol=1e-5) and np.allclose(a["base_score"], b["base_score"]) and a["n_known"].equals(b["n_known"])
+
+
+def test_lm_cuts_many_words_as_one():
+    words = [b"the", b"|", b"x" * 700, "Éméntàment".encode(), b"\xff\xfe", "\u3000\u00a0\u2028".encode(), b"!!\x00\x1c", "\U0001f600".encode()]
+    for some in (words, [w for w in words if w != b"\xff\xfe"], []):
+        pieces, cuts = lm.cut(some)
+        assert pieces.tolist() == [i for w in some for i in lm.subwords(w)] and cuts.tolist() == [len(lm.subwords(w)) for w in some]
+
+
 def test_lm_probabilities_sum_to_one():
     """At one place, over whole words, spelt words and the end, by the parts that the score is made of: the mass of all that may come first is 1."""
     rng = np.random.default_rng(3)
